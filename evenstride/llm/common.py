@@ -78,3 +78,44 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = new
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
+
+
+def bitmap_filter(df: DataFrame, col: str, keys: DataFrame, key: str, bits: int = 1 << 22) -> DataFrame:
+    """Rows of ``df`` whose ``col`` may occur in ``keys[key]``: none that does is lost, a few others pass, so an exact join must follow.
+
+    Keys are hashed into a bitmap of ``bits`` bits, at most ``bits`` / 64 broadcast rows at any scale (65,536 here); with very many keys
+    it fills up and filters less, never wrongly. It keeps long texts that a join would drop out of that join's shuffle.
+    """
+    h = f"pmod(xxhash64({{}}), {bits}L)"
+    hk = h.format(f"`{key}`")
+    words = keys.where(F.col(key).isNotNull()).groupBy(F.expr(f"shiftright({hk}, 6)").alias("__w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({hk} & 63 as int))")).alias("__bm"))
+    hc = h.format(f"`{col}`")
+    out = df.withColumn("__w", F.expr(f"shiftright({hc}, 6)")).join(F.broadcast(words), "__w")
+    return out.where(F.expr(f"(shiftrightunsigned(__bm, cast({hc} & 63 as int)) & 1L) = 1L")).drop("__w", "__bm")
+
+
+def grouped_batches(batches, keys: list[str]):
+    """Rows of Arrow batches that come sorted by ``keys``, group by group, as pyarrow tables; only one group is held at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(b.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(change).tolist()]
+        ends = [*starts[1:], b.num_rows]
+        for s, e in zip(starts, ends):
+            now = tuple(c[s] for c in cols)
+            if now != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(b.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
