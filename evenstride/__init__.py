@@ -1 +1,8 @@
 """Complex event recognition on Spark DataFrames: sequence patterns with Kleene closures compiled to Catalyst plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel by value, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
