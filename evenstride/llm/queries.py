@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, mixing, neardup, pii, sharding, simhash, warc
+from . import embedding, mixing, neardup, pii, quality, sharding, simhash, warc
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -41,5 +45,5 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_warc, op3_minhash, op4_simhash, op5_pii, op6_mixing, op9_sharding, op10_embedding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_simhash, op5_pii, op6_mixing, op9_sharding, op10_embedding)}
 ORACLES: dict[str, str] = {}
