@@ -95,7 +95,7 @@ def route(patterns: dict[tuple, int], quota: dict, repeats: int = REPEATS) -> di
 
 
 def mix(docs: DataFrame, seed: int = 7, parts: int = 4096) -> DataFrame:
-    """How many words of each document the mix takes: ``(doc_id, size, source_size, target, taken)``, one row per input row.
+    """How many words of each document the mix takes: ``(doc_id, size, source_size, target, taken, text_crc32)``, one row per input row.
 
     ``source`` is a string, or an array of strings where sources overlap (a document that belongs to several may fill any of their
     quotas; source_size and target are then summed over them). Documents are aggregated by membership pattern; the flow runs on the
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, seed: int = 7, parts: int = 4096) -> DataFrame:
     spark = docs.sparkSession
     many = dict(docs.dtypes)["source"].startswith("array")
     member = F.array_sort(F.array_distinct("source")) if many else F.array("source")
-    base = cut(docs.select("doc_id", member.alias("p"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.crc32("text")).alias("u")), "mix")
+    base = cut(docs.select("doc_id", member.alias("p"), word_count(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64(F.lit(seed), "doc_id", F.crc32("text")).alias("u")), "mix")
     pats = {tuple(r.p): r.s for r in base.groupBy("p").agg(F.sum("size").alias("s")).collect()}
     sizes: dict = {}
     for p, n in pats.items():
@@ -136,5 +136,24 @@ def mix(docs: DataFrame, seed: int = 7, parts: int = 4096) -> DataFrame:
         base.join(before, ["pk", "part"])
         .withColumn("ahead", ahead)
         .join(plan, "pk")
-        .select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+        .select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"), "text_crc32")
     )
+
+
+def take(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a document once for each time it is taken whole, and its first words for a part.
+
+    Documents of which nothing is taken go; ``n_chars``, if there, is that of the text that stays. Equal rows are told apart by number.
+    """
+    names = docs.columns
+    crc, w = F.crc32(F.coalesce("text", F.lit(""))), Window.partitionBy("doc_id", "text_crc32")
+    plan = mix(docs, seed).where("taken > 0").withColumn("__rn", F.row_number().over(w.orderBy("taken")))
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "__rn", F.expr("taken div size").alias("__whole"), F.expr("taken % size").alias("__part"))
+    rows = docs.withColumn("text_crc32", crc).withColumn("__rn", F.row_number().over(w.orderBy("doc_id"))).withColumnRenamed("text_crc32", "__crc").withColumnRenamed("doc_id", "__doc")
+    got = rows.join(plan.withColumnRenamed("__crc", "__crc2").withColumnRenamed("__rn", "__rn2"), F.expr("__doc <=> __id and __crc = __crc2 and __rn = __rn2"))
+    got = got.withColumn("__words", F.explode(F.expr("concat(array_repeat(-1L, cast(__whole as int)), if(__part > 0, array(__part), array()))")))
+    first = r"array_join(slice(regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*', 0), 1, cast(__words as int)), '')"
+    got = got.withColumn("text", F.expr(f"if(__words < 0, text, {first})")).withColumnRenamed("__doc", "doc_id")
+    if "n_chars" in names:
+        got = got.withColumn("n_chars", F.length("text").cast("long"))
+    return got.select(*names)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, mixing, neardup, pii, quality, sharding, simhash, toxicity, warc
+from . import embedding, mixing, neardup, pieces, pii, quality, sharding, simhash, toxicity, warc
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_simhash, op5_pii, op6_mixing, op7_toxicity, op9_sharding, op10_embedding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_warc, op3_minhash, op4_simhash, op5_pii, op6_mixing, op7_toxicity, op8_pieces, op9_sharding, op10_embedding)}
 ORACLES: dict[str, str] = {}
