@@ -259,7 +259,8 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> Da
         table = {lang: (keys[langs == lang], vals[langs == lang]) for lang in set(langs.tolist())}
         one = d.mapInArrow(_score(spark.sparkContext.broadcast({"rows": table}), s, shards), "doc_id long, lang string, th long, loss double, n long")
         out = one if out is None else out.union(one)
-    return out.groupBy("doc_id", "lang", "th").agg((F.sum("loss")).alias("loss"), F.sum("n").alias("n"), (F.count("*") / shards).cast("int").alias("copies"))
+    sums = out.groupBy("doc_id", "lang", "th").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"), (F.count("*") / shards).cast("int").alias("copies"))
+    return sums.select("doc_id", "lang", "th", (F.col("loss") / F.col("copies")).alias("loss"), F.expr("n div copies").alias("n"), "copies")
 
 
 def _quantiles(df: DataFrame, value: str, at: tuple[float, ...]) -> dict[str, list[float]]:

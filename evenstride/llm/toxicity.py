@@ -19,8 +19,13 @@ TRAIN_ROWS, FEATURES = 12_000, 600
 LM_WORDS = 20_000
 #: Beginnings of words that are features beside words themselves, in characters.
 BEGINNINGS = (4, 5, 6, 7)
-#: Distance from chance that a feature must have, in standard errors of its log odds.
-MIN_Z = 4.5
+#: Distance from chance that a feature must have: signed root of its likelihood ratio.
+MIN_Z = 4.2
+#: A feature's toxic share is shrunk by so many average documents; no text that holds it scores lower (a regression on texts with many
+#: such words spreads the weight over all of them, so a single one would count too little).
+PRIOR_DOCS = 20
+#: Only a share of this and more counts so: it takes some dozens of documents, nearly all of them toxic.
+SURE = 0.7
 THRESHOLD = 0.3
 
 # Letters that a sign may stand for.
@@ -194,33 +199,55 @@ def _scores(shared):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        known, model, weights, bias = shared.value
+        known, model, weights, bias, shares = shared.value
         memo: dict = {}
         for b in batches:
-            out = np.empty(b.num_rows)
+            out, least = np.empty(b.num_rows), np.zeros(b.num_rows)
             for i, t in enumerate(b.column(1)):
                 fs = text_features(t.as_py(), known, model, memo)
-                out[i] = bias + weights[list(fs)].sum() if fs else bias
+                out[i] = bias
+                if fs:
+                    at = list(fs)
+                    out[i] += weights[at].sum()
+                    least[i] = shares[at].max()
                 if len(memo) > 400_000:
                     memo.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.maximum(least, 1 / (1 + np.exp(-np.clip(out, -30, 30)))))], ["doc_id", "score"])
 
     return run
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 12) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps; weights and bias."""
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 25) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps, each halved until the loss falls; weights and bias."""
     n, d = x.shape
     if not n or not y.any():
         return np.zeros(d), -6.0
     a = np.hstack([x, np.ones((n, 1), x.dtype)])
+    keep = np.append(np.full(d, ridge), 1e-6)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        m = (a @ w.astype(a.dtype)).astype(np.float64)
+        return float(np.logaddexp(0, m).sum() - m @ y + 0.5 * keep @ (w * w)), m
+
     w = np.zeros(d + 1)
     w[-1] = math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
-    keep = np.append(np.full(d, ridge), 1e-6)
+    now, m = loss(w)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w.astype(a.dtype), -30, 30).astype(np.float64)))
-        hess = (a * (p * (1 - p) + 1e-6).astype(a.dtype)[:, None]).T @ a
-        w = w - np.linalg.solve(hess.astype(np.float64) + np.diag(keep), a.T @ (p - y).astype(a.dtype) + keep * w)
+        p = 1 / (1 + np.exp(-np.clip(m, -30, 30)))
+        hess = (a * (p * (1 - p)).astype(a.dtype)[:, None]).T @ a
+        move = np.linalg.solve(hess.astype(np.float64) + np.diag(keep), a.T @ (p - y).astype(a.dtype) + keep * w)
+        size = 1.0
+        while size > 1e-3:
+            new, m2 = loss(w - size * move)
+            if new < now:
+                break
+            size /= 2
+        else:
+            break
+        done = now - new < 1e-4
+        w, now, m = w - size * move, new, m2
+        if done:
+            break
     return w[:-1], float(w[-1])
 
 
@@ -247,9 +274,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     rows = cut(docs.select("doc_id", "text").where("text is not null").join(sample, "doc_id").select("text", "toxic"), "tox-sample")
     found = cut(rows.mapInArrow(_count, "f string, n long, bad long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where("n >= 4"), "tox-counts")
     n, bad = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    good = n - bad
-    a, b = F.col("bad") + 0.5, F.col("n") - F.col("bad") + 0.5
-    z = (F.log(a / (bad - F.col("bad") + 0.5)) - F.log(b / (good - F.col("n") + F.col("bad") + 0.5))) / F.sqrt(1 / a + 1 / b)
+    # signed root of the likelihood ratio of a feature's toxic share against the share of all documents
+    rate = min(max(bad / n, 1e-9), 1 - 1e-9) if n else 0.5
+    x, y = F.col("bad"), F.col("n") - F.col("bad")
+    part = lambda k, share: F.when(k > 0, k * F.log(k / (F.col("n") * share))).otherwise(0.0)
+    z = F.signum(x - F.col("n") * rate) * F.sqrt(F.greatest(F.lit(0.0), 2 * (part(x, rate) + part(y, 1 - rate))))
     best = found.withColumn("z", z).where(f"z >= {MIN_Z}").orderBy(F.desc("z"), "f").limit(FEATURES).collect()
     common = found.where("f not like '^%'").orderBy(F.desc("n"), "f").limit(LM_WORDS).collect()
     known = {r.f: i for i, r in enumerate(best)}
@@ -259,6 +288,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     for i, r in enumerate(data):
         x[i, r.fs] = 1
     weights, bias = fit(x, np.array([r.toxic for r in data], np.float32))
-    shared = spark.sparkContext.broadcast((known, model, weights, bias))
+    shares = np.array([(r.bad + PRIOR_DOCS * rate) / (r.n + PRIOR_DOCS) for r in best])
+    shares[shares < SURE] = 0
+    shared = spark.sparkContext.broadcast((known, model, weights, bias, shares))
     scored = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_scores(shared), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
