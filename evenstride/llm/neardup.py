@@ -17,7 +17,7 @@ WORDS, COORDINATES, MATCHES = 5, 32, 18
 BLOCK = 256
 #: Shingles of a cluster's block at most, about.
 BLOCK_SHINGLES = 500_000
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 _rng = np.random.RandomState(20240229)
 _BYTE = _rng.randint(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
