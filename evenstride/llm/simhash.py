@@ -68,7 +68,8 @@ def within(queries: DataFrame, stored: DataFrame, radius: int = 3, blocks: int =
     def posted(df: DataFrame, c: str) -> DataFrame:
         return df.select(c, F.posexplode(arr).alias("t", "m")).select(c, "t", F.col(c).bitwiseAND(F.col("m")).alias("k"))
 
-    both = posted(queries, "q").join(posted(stored, "fp"), ["t", "k"])
+    # a merge join: the planner doesn't know that posting makes many rows of one, so it would broadcast queries on their size before that
+    both = posted(queries, "q").hint("merge").join(posted(stored, "fp"), ["t", "k"])
     x = F.col("q").bitwiseXOR(F.col("fp"))
     first = F.lit(len(masks))
     for t in reversed(range(len(masks))):
