@@ -40,11 +40,11 @@ def generator_query(op: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", "wk", F.expr("array_join(transform(s, x -> cast(x.event_id as string)), ',')").alias("ids"))
 
 
-def _generator_sql(op: str) -> str:
+def _generator_sql(op: str | None, least: int = 2) -> str:
     return f"""WITH RECURSIVE ev AS (SELECT user_id, {WEEK_SQL} AS wk, event_id, ts, value FROM events WHERE event_type = 'click'),
 c AS (SELECT user_id, wk, ts, event_id, value, CAST(event_id AS VARCHAR) AS ids, 1 AS n FROM ev UNION ALL
-SELECT c.user_id, c.wk, e.ts, e.event_id, e.value, c.ids || ',' || e.event_id, n + 1 FROM c JOIN ev e ON e.user_id = c.user_id AND e.wk = c.wk AND (e.ts, e.event_id) > (c.ts, c.event_id) AND c.value {op} e.value)
-SELECT user_id, wk, ids FROM c WHERE n >= 2"""
+SELECT c.user_id, c.wk, e.ts, e.event_id, e.value, c.ids || ',' || e.event_id, n + 1 FROM c JOIN ev e ON e.user_id = c.user_id AND e.wk = c.wk AND (e.ts, e.event_id) > (c.ts, c.event_id){f" AND c.value {op} e.value" if op else ""})
+SELECT user_id, wk, ids FROM c WHERE n >= {least}"""
 
 
 def _fsql(expr: str, name: str = "") -> str:
@@ -143,7 +143,7 @@ QUERIES["f_subset_sum"], ORACLES["f_subset_sum"] = partial(function_query, "subs
 QUERIES["f_at_ts"], ORACLES["f_at_ts"] = at_ts_query, _fsql("v[len(v)]")
 for _key, _fn in {"g_inc": "increasing_dp", "g_nondec": "non_decreasing_dp", "g_noninc": "non_increasing_dp", "g_dec": "decreasing_dp"}.items():
     QUERIES[_key], ORACLES[_key] = partial(generator_query, GENERATORS[_fn]), _generator_sql(GENERATORS[_fn])
-QUERIES["x_powerset"], ORACLES["x_powerset"] = powerset_query, _generator_sql("<= 1e308 + 0 *").replace("WHERE n >= 2", "")
+QUERIES["x_powerset"], ORACLES["x_powerset"] = powerset_query, _generator_sql(None, 1)
 QUERIES["x_contig"], ORACLES["x_contig"] = contiguous_query, _CONTIG_SQL
 QUERIES["x_product"] = QUERIES["j_cross"] = product_query
 ORACLES["x_product"] = ORACLES["j_cross"] = f"SELECT a.user_id, a.wk, a.event_id AS a_id, b.event_id AS b_id FROM {_EV_WK} a JOIN {_EV_WK} b USING (user_id, wk) WHERE a.event_type = 'click' AND b.event_type = 'view'"

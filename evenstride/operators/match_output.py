@@ -69,7 +69,7 @@ def j_filter(spark, sf_dir):
 def j_extend(spark, sf_dir):
     """Combinations of clicks extended by a view of the same week that is at least the last click."""
     s = sequences(spark, sf_dir).join(sequences(spark, sf_dir, "view").withColumnRenamed("a", "b"), ["user_id", "wk"])
-    return s.withColumn("y", F.explode(F.expr("filter(b, y -> y.value >= get(a, size(a) - 1).value)"))).select("user_id", "wk", F.col("y.event_id").alias("b_id"), F.size("a").alias("n"))
+    return s.withColumn("y", F.explode(F.expr("filter(b, y -> y.value >= get(a, size(a) - 1).value)"))).select("user_id", "wk", F.col("y.event_id").alias("b_id"), F.size("a").cast("long").alias("n"))
 
 
 def x_missing(spark, sf_dir):
@@ -97,16 +97,16 @@ def approx_matches(spark, sf_dir):
 
 
 def m_group_by_key(spark, sf_dir):
-    return _hadoop(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.max(F.size(F.split("b_ids", ","))).alias("longest"))
+    return _hadoop(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.max(F.size(F.split("b_ids", ","))).cast("long").alias("longest"))
 
 
 def m_rollup(spark, sf_dir):
-    return _hadoop(spark, sf_dir).withColumn("len", F.size(F.split("b_ids", ","))).rollup("user_id", "len").agg(F.count("*").alias("n"))
+    return _hadoop(spark, sf_dir).withColumn("len", F.size(F.split("b_ids", ",")).cast("long")).rollup("user_id", "len").agg(F.count("*").alias("n"))
 
 
 def m_rank(spark, sf_dir):
     m = _hadoop(spark, sf_dir).withColumn("span", F.col("last_us") - F.col("first_us"))
-    return m.select("user_id", "a_id", "b_ids", "c_id", F.rank().over(Window.partitionBy("user_id").orderBy("span")).alias("place"))
+    return m.select("user_id", "a_id", "b_ids", "c_id", F.rank().over(Window.partitionBy("user_id").orderBy("span")).cast("long").alias("place"))
 
 
 def m_topk(spark, sf_dir):

@@ -85,12 +85,10 @@ def oracle(p: Pattern, source: str = "events", cols: dict[str, str] | None = Non
         if not v.kleene:
             ctes.append(f"s{i} AS (SELECT p.* EXCLUDE (w0_f_ts, w0_l_ts, w0_l_id, w0_l_rn), {move}, e.id AS {n}_id, e.v AS {n}_v, e.ts AS {n}_t FROM {prev} p JOIN ev e ON {on})")
             if v.strategy == "stnm":
-                keep = "w0_f_ts, w0_l_ts, w0_l_id, w0_l_rn"
                 olds = ", ".join(f"{x.name}_ids" if x.kleene else f"{x.name}_id" for x in p.vars[: i - 1])
                 if olds:
                     ctes[-1] = f"s{i}all AS" + ctes[-1].removeprefix(f"s{i} AS")
                     ctes.append(f"s{i} AS (SELECT * FROM s{i}all QUALIFY row_number() OVER (PARTITION BY k, {olds} ORDER BY w0_l_ts, w0_l_id) = 1)")
-                del keep
         else:
             empty = f"CAST([] AS BIGINT[]) AS {n}_ids, CAST([] AS DOUBLE[]) AS {n}_vs, CAST([] AS TIMESTAMP[]) AS {n}_ts"
             grow = f"list_append(p.{n}_ids, e.id), list_append(p.{n}_vs, e.v), list_append(p.{n}_ts, e.ts)"
