@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import WORD, cut, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -152,8 +152,9 @@ def take(docs: DataFrame, seed: int = 7) -> DataFrame:
     rows = docs.withColumn("text_crc32", crc).withColumn("__rn", F.row_number().over(w.orderBy("doc_id"))).withColumnRenamed("text_crc32", "__crc").withColumnRenamed("doc_id", "__doc")
     got = rows.join(plan.withColumnRenamed("__crc", "__crc2").withColumnRenamed("__rn", "__rn2"), F.expr("__doc <=> __id and __crc = __crc2 and __rn = __rn2"))
     got = got.withColumn("__words", F.explode(F.expr("concat(array_repeat(-1L, cast(__whole as int)), if(__part > 0, array(__part), array()))")))
-    first = r"array_join(slice(regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*', 0), 1, cast(__words as int)), '')"
-    got = got.withColumn("text", F.expr(f"if(__words < 0, text, {first})")).withColumnRenamed("__doc", "doc_id")
+    words = F.regexp_extract_all("text", F.lit(WORD + WORD.replace("[^", "[").replace("+", "*")), F.lit(0))
+    first = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__words"), F.lit(0)).cast("int")), "")
+    got = got.withColumn("text", F.when(F.col("__words") < 0, F.col("text")).otherwise(first)).withColumnRenamed("__doc", "doc_id")
     if "n_chars" in names:
         got = got.withColumn("n_chars", F.length("text").cast("long"))
     return got.select(*names)

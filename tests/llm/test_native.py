@@ -196,8 +196,10 @@ def test_sharding(spark, odd):
 def test_lpt_is_greedy_and_balanced():
     sizes = [(x, str(x)) for x in range(1, 400)]
     where = sharding.lpt(sizes, 7)
-    load = Counter()
-    for n, k in sizes:
-        load[where[k]] += n
-    assert max(load.values()) - min(load.values()) <= 2
+    load, want = [0] * 7, {}
+    for n, k in sorted(sizes, reverse=True):
+        s = load.index(min(load))
+        want[k] = s
+        load[s] += n
+    assert where == want and max(load) - min(load) <= 10
     assert sharding.lpt([], 3) == {}
