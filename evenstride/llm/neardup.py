@@ -297,7 +297,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     drop_cut(short)
     clusters = components(cand).select("node", F.col("component").alias("cluster"))
     reps = clusters.join(nodes.select("node", "rep"), "node")
-    texts = bitmap_filter(docs.select("doc_id", "text"), "doc_id", reps, "rep")
+    plain = docs.select("doc_id", "text")
+    texts = bitmap_filter(plain, "doc_id", reps, "rep").union(plain.where("doc_id is null"))  # a node may have no other
     sets = texts.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_read(True), SET_SCHEMA)
     sets = cut(sets.join(clusters, "node"), "near-sets")
     weight = sets.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("w")).select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("w") / BLOCK_SHINGLES)).alias("blocks"))

@@ -127,6 +127,15 @@ def test_near_duplicates(spark, block, monkeypatch):
     assert len({g[2] for g in got}) < len(got) - 30
 
 
+def test_a_document_without_id_links_others(spark):
+    w = [f"w{i}" for i in range(200)]
+    one = [f"x{i}" if i in (20, 60, 100) else x for i, x in enumerate(w)]
+    two = [f"y{i}" if i in (40, 80, 120) else x for i, x in enumerate(one)]
+    rows = [(7, " ".join(w)), (None, " ".join(one)), (5, " ".join(two))]
+    got = sorted((tuple(x) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == near_brute(rows) and {g[2] for g in got} == {5}
+
+
 def test_near_duplicates_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [tuple(x) for x in neardup.near_duplicates(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).orderBy("doc_id").collect()] == [(1, 0, 1, True), (2, 0, 2, True)]
