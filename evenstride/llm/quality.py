@@ -254,10 +254,14 @@ def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> Da
     for s in range(shards):
         part = model.where(short | (ctx2 % 1000003 % shards == s)).select("lang", (F.shiftleft(F.col("tag").cast("long"), 56).bitwiseOR(F.col("key"))).alias("key"), F.col("val").cast("float").alias("val"))
         tab = part.toArrow()
-        langs = np.array(tab.column("lang").to_pylist(), object)
+        code = tab.column("lang").combine_chunks().dictionary_encode()
+        at, names = code.indices.to_numpy(zero_copy_only=False), code.dictionary.to_pylist()
         keys, vals = tab.column("key").to_numpy(), tab.column("val").to_numpy()
-        table = {lang: (keys[langs == lang], vals[langs == lang]) for lang in set(langs.tolist())}
+        del tab, code
+        table = {lang: (keys[at == i], vals[at == i]) for i, lang in enumerate(names)}
+        del keys, vals, at
         one = d.mapInArrow(_score(spark.sparkContext.broadcast({"rows": table}), s, shards), "doc_id long, lang string, th long, loss double, n long")
+        del table
         out = one if out is None else out.union(one)
     sums = out.groupBy("doc_id", "lang", "th").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"), (F.count("*") / shards).cast("int").alias("copies"))
     return sums.select("doc_id", "lang", "th", (F.col("loss") / F.col("copies")).alias("loss"), F.expr("n div copies").alias("n"), "copies")
