@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .common import components, cut, drop_cut, grouped_batches
 
 #: Width of a quantised projection, projections in a table's key, tables. Unit vectors with a cosine of 0.95 are 0.316 apart and share a
-#: slot of one projection with probability 0.90, a key with 0.08, some key with 0.995; at 0.96 some key with 0.999, at 0.97 with
-#: 0.99997. Unrelated vectors (1.41 apart) share a slot with 0.57 and a key with 1e-6.
+#: slot of one projection with probability 0.90, a key with 0.08, some key with 0.994; at 0.96 some key with 0.999, at 0.97 with
+#: 0.99994. Unrelated vectors (1.41 apart) share a slot with 0.57 and a key with 1e-6.
 WIDTH, PROJECTIONS, TABLES = 2.5, 24, 64
 #: Vectors of a bucket that a task compares at once.
 BLOCK = 512

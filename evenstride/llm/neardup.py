@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import bitmap_filter, components, cut, drop_cut, grouped_batches
 
 #: Words in a shingle; coordinates of a signature; matching coordinates that make a candidate. Texts with a similarity of 0.85 agree in
-#: 27.2 coordinates on average; fewer than 18 happen to 6 in a million such pairs.
+#: 27.2 coordinates on average; fewer than 18 happen to 2 in 100,000 such pairs.
 WORDS, COORDINATES, MATCHES = 5, 32, 18
 #: Entries of a posting list (texts of a cluster) that a task compares at once.
 BLOCK = 256

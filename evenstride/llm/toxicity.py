@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,7 +188,7 @@ def _matrix(shared):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        known, model = shared.value
+        known, model = pickle.loads(shared.value)
         memo: dict = {}
         for b in batches:
             fs = [sorted(text_features(t, known, model, memo)) for t in b.column(0).to_pylist()]
@@ -199,7 +201,7 @@ def _scores(shared):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        known, model, weights, bias, shares = shared.value
+        known, model, weights, bias, shares = pickle.loads(shared.value)
         memo: dict = {}
         for b in batches:
             out, least = np.empty(b.num_rows), np.zeros(b.num_rows)
@@ -283,13 +285,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     common = found.where("f not like '^%'").orderBy(F.desc("n"), "f").limit(LM_WORDS).collect()
     known = {r.f: i for i, r in enumerate(best)}
     model = CharModel({r.f: math.sqrt(r.n) for r in common}, [r.f for r in best if r.f[0] != "^"])
-    data = rows.mapInArrow(_matrix(spark.sparkContext.broadcast((known, model))), "toxic int, fs array<int>").collect()  # train_rows at most
+    data = rows.mapInArrow(_matrix(spark.sparkContext.broadcast(cloudpickle.dumps((known, model)))), "toxic int, fs array<int>").collect()  # train_rows at most
     x = np.zeros((len(data), len(known)), np.float32)
     for i, r in enumerate(data):
         x[i, r.fs] = 1
     weights, bias = fit(x, np.array([r.toxic for r in data], np.float32))
     shares = np.array([(r.bad + PRIOR_DOCS * rate) / (r.n + PRIOR_DOCS) for r in best])
     shares[shares < SURE] = 0
-    shared = spark.sparkContext.broadcast((known, model, weights, bias, shares))
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps((known, model, weights, bias, shares)))  # by value: executors need no copy of this package
     scored = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_scores(shared), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
