@@ -12,6 +12,10 @@ from evenstride.llm import mixing, neardup, pieces, pii, quality
 from evenstride.llm.common import cut, table
 
 
+#: Similarity in percent from which the near-duplicate stage links two documents: that of op3_minhash, which the stage's test compares with.
+NEAR_PERCENT = 85
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     bad = quality.classify(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id").distinct()
@@ -20,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near-duplicates."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti").withColumn("__hash", F.xxhash64("text"))
     return rest.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import bitmap_filter, components, cut, drop_cut, grouped_batches
 
-#: Words in a shingle; coordinates of a signature; matching coordinates that make a candidate. Texts with a similarity of 0.85 agree in
-#: 27.2 coordinates on average; fewer than 18 happen to 2 in 100,000 such pairs.
-WORDS, COORDINATES, MATCHES = 5, 32, 18
+#: Words in a shingle; coordinates of a signature; share of links at the threshold itself that may agree in too few coordinates.
+WORDS, COORDINATES, MISSED = 5, 32, 4e-5
 #: Entries of a posting list (texts of a cluster) that a task compares at once.
 BLOCK = 256
 #: Shingles of a cluster's block at most, about.
@@ -32,6 +32,20 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def matches(percent: int) -> int:
+    """Matching coordinates that make a candidate: the most that at most MISSED of the pairs with that similarity fall short of.
+
+    18 at 85 percent (1.9e-5 of such pairs agree in fewer), 16 at 80 percent (3.3e-5).
+    """
+    p, short, m = percent / 100, 0.0, 0
+    while m < COORDINATES:
+        short += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if short > MISSED:
+            break
+        m += 1
+    return max(m, 1)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: every bit of the result depends on every bit of x."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -177,15 +191,15 @@ def _group(g) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return node, sig, g.column("blk").to_numpy()
 
 
-def _pairs(node, sig, blk, b1: int, b2: int):
-    """Index pairs of a block pair with MATCHES equal coordinates at least, the best first."""
+def _pairs(node, sig, blk, b1: int, b2: int, least: int):
+    """Index pairs of a block pair with ``least`` equal coordinates at least, the best first."""
     left, right = np.flatnonzero(blk == b1), np.flatnonzero(blk == b2)
     if not len(left) or not len(right):
         return np.zeros((0, 2), int)
     same = np.zeros((len(left), len(right)), np.uint8)
     for k in range(COORDINATES):
         same += sig[left, k][:, None] == sig[right, k]
-    ok = same >= MATCHES
+    ok = same >= least
     if b1 == b2:
         ok = np.triu(ok, 1)
     i, j = np.nonzero(ok)
@@ -204,25 +218,29 @@ def _emit(rows: list):
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["a", "b"])
 
 
-def _candidates(batches) -> Iterator:
+def _candidates(least: int):
     """A spanning forest of each block pair's candidate graph."""
-    rows: list = []
-    for g in grouped_batches(batches, ["k", "b1", "b2"]):
-        node, sig, blk = _group(g)
-        if len(node) < 2:
-            continue
-        f = Forest(len(node))
-        for i, j in _pairs(node, sig, blk, g.column("b1")[0].as_py(), g.column("b2")[0].as_py()).tolist():
-            f.join(i, j)
-        _edges_of(f, node, rows)
-        if len(rows) >= 10000:
+
+    def run(batches) -> Iterator:
+        rows: list = []
+        for g in grouped_batches(batches, ["k", "b1", "b2"]):
+            node, sig, blk = _group(g)
+            if len(node) < 2:
+                continue
+            f = Forest(len(node))
+            for i, j in _pairs(node, sig, blk, g.column("b1")[0].as_py(), g.column("b2")[0].as_py(), least).tolist():
+                f.join(i, j)
+            _edges_of(f, node, rows)
+            if len(rows) >= 10000:
+                yield _emit(rows)
+                rows = []
+        if rows:
             yield _emit(rows)
-            rows = []
-    if rows:
-        yield _emit(rows)
+
+    return run
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, least: int):
     def run(batches) -> Iterator:
         rows: list = []
         for g in grouped_batches(batches, ["k", "b1", "b2"]):
@@ -232,7 +250,7 @@ def _confirm(percent: int):
             sets: dict[int, np.ndarray] = {}
             col = g.column("shingles")
             f = Forest(len(node))
-            for i, j in _pairs(node, sig, blk, g.column("b1")[0].as_py(), g.column("b2")[0].as_py()).tolist():
+            for i, j in _pairs(node, sig, blk, g.column("b1")[0].as_py(), g.column("b2")[0].as_py(), least).tolist():
                 if f.root(i) == f.root(j):
                     continue
                 for x in (i, j):
@@ -270,22 +288,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     1. Each text becomes its set of distinct 5-word shingles (64-bit hashes) and a signature; equal sets are one node from here on, so
        copies are never paired.
-    2. Inverted join: nodes are posted under their (coordinate, value) pairs. A pair of candidates agrees in MATCHES of COORDINATES, so
-       it shares one of the COORDINATES - MATCHES + 1 rarest postings of either (prefix); only those lists are merged, the long rest is
+    2. Inverted join: nodes are posted under their (coordinate, value) pairs. A pair of candidates agrees in ``matches(percent)`` of
+       COORDINATES, so it shares one of the COORDINATES - matches + 1 rarest postings of either (prefix); only those lists are merged, the long rest is
        skipped and its collisions are counted on the signatures themselves. Lists are cut into blocks of BLOCK, a task compares a pair of
        blocks and passes on a spanning forest of the candidates there, never the pairs.
     3. Connected candidates form clusters. The full sets of their texts (only) are made again, dealt into blocks per cluster, and every
        candidate pair that isn't connected yet is compared on them; what passes is linked.
     4. Components of the links; ``component_id`` is the smallest doc_id, ``kept`` says that a document has it.
 
-    A link is lost only if the signatures of two texts agree in fewer than MATCHES places (see there) and no chain of other links
+    A link is lost only if the signatures of two texts agree in fewer than ``matches(percent)`` places (see there) and no chain of other links
     connects them. Texts that are null or without words have no shingles and are linked with nothing (their component is themselves).
     Rows with one doc_id are one document for ``kept`` but each keeps its row; a null doc_id never is the smallest unless alone, and is
     not kept then. An empty table gives no rows; other columns are ignored.
     """
     base = cut(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_read(False), BASE_SCHEMA), "near-base")
     nodes = cut(base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "near-nodes")
-    prefix = COORDINATES - MATCHES + 1
+    least = matches(percent)
+    prefix = COORDINATES - least + 1
     posted = nodes.select("node", F.posexplode("sig").alias("c", "v")).select("node", F.xxhash64("c", "v").alias("e"))
     shared = posted.groupBy("e").agg(F.count("*").alias("n")).where("n >= 2")
     own = posted.join(shared, "e").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("es"))  # COORDINATES at most
@@ -293,7 +312,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     short = cut(short, "near-posted")
     lists = short.groupBy("e").agg(F.count("*").alias("n")).where("n >= 2").select("e", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     merged = _block_pairs(short.join(lists, "e").join(nodes.select("node", "sig"), "node"), "e", "blocks", ["sig"])
-    cand = cut(merged.mapInArrow(_candidates, "a long, b long").distinct(), "near-cand")
+    cand = cut(merged.mapInArrow(_candidates(least), "a long, b long").distinct(), "near-cand")
     drop_cut(short)
     clusters = components(cand).select("node", F.col("component").alias("cluster"))
     reps = clusters.join(nodes.select("node", "rep"), "node")
@@ -302,11 +321,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sets = texts.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_read(True), SET_SCHEMA)
     sets = cut(sets.join(clusters, "node"), "near-sets")
     weight = sets.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("w")).select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("w") / BLOCK_SHINGLES)).alias("blocks"))
-    links = cut(_block_pairs(sets.join(weight, "cluster"), "cluster", "blocks", ["sig", "shingles"]).mapInArrow(_confirm(percent), "a long, b long").distinct(), "near-links")
+    links = cut(_block_pairs(sets.join(weight, "cluster"), "cluster", "blocks", ["sig", "shingles"]).mapInArrow(_confirm(percent, least), "a long, b long").distinct(), "near-links")
     drop_cut(sets)
     linked = nodes.select("node", "rep").join(components(links), "node", "left")
-    least = linked.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
-    label = linked.join(least, "component", "left").select("node", F.coalesce("least", "rep").alias("label"))
+    lowest = linked.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    label = linked.join(lowest, "component", "left").select("node", F.coalesce("least", "rep").alias("label"))
     out = base.select("doc_id", "n", "node").join(label, "node", "left")
     comp = F.coalesce("label", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
