@@ -16,12 +16,12 @@ ORDER, BITS = 5, 10
 SHARD_ROWS = 1_000_000
 #: Characters handled at once.
 PIECE = 1 << 20
-#: One trusted document in so many is held out of training to set the thresholds.
-HELD_OUT = 10
+#: Folds (by a hash of doc_id) of trusted text: a document is scored by a model of the other folds, so each trusted one is held out once.
+FOLDS = 4
 #: A document's mean is taken with so many further characters at its language's median, so that short ones need more evidence.
 PRIOR_CHARS = 60
-#: Threshold: the median of held-out trusted documents plus so many times the distance from it to their 0.9 quantile.
-SPREADS = 6.0
+#: Threshold: this quantile of a language's trusted documents, each held out of the model that scores it.
+QUANTILE = 0.99
 _ALPHABET = np.arange(0x250, dtype=np.int64)
 _ALPHABET[0] = 0x251
 _ALPHABET[48:58] = 48
@@ -132,8 +132,21 @@ def train(trusted: DataFrame) -> DataFrame:
     n-gram counts are summed over all trusted text and sharded by their key; lower orders count distinct left neighbours. tag = m: log
     probability of an m-gram; tag = 8 + m: log back-off weight of a context of m characters; tag 15: log of the uniform share.
     """
-    spark = trusted.sparkSession
-    counts = trusted.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return _model(trusted.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")))
+
+
+def train_folds(trusted: DataFrame, folds: int) -> DataFrame:
+    """Model rows as of ``train``, from ``trusted(fold, lang, text)``: for each fold a model of the text in all others, ``lang`` being "fold:lang"."""
+    counts = trusted.select(F.concat_ws(":", "fold", "lang").alias("lang"), "text").mapInArrow(_count, "lang string, key long, n long")
+    fold = F.substring_index("lang", ":", 1).cast("int")
+    lang = F.expr("substring(lang, instr(lang, ':') + 1)")
+    own = counts.groupBy(lang.alias("lang"), "key").agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(fold == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(folds)])
+    rest = F.explode(F.array(*[F.struct(F.lit(k).alias("fold"), (F.col("n") - F.col(f"n{k}")).alias("n")) for k in range(folds)])).alias("x")
+    return _model(own.select("lang", "key", rest).where("x.n > 0").select(F.concat_ws(":", "x.fold", "lang").alias("lang"), "key", F.col("x.n").alias("n")))
+
+
+def _model(counts: DataFrame) -> DataFrame:
+    spark = counts.sparkSession
     level = {ORDER: cut(counts, "kn-counts")}
     for m in range(ORDER - 1, 0, -1):
         level[m] = level[m + 1].groupBy("lang", F.col("key").bitwiseAND(F.lit(_mask(m))).alias("key")).agg(F.count("*").alias("n"))
@@ -278,12 +291,13 @@ def _quantiles(df: DataFrame, value: str, at: tuple[float, ...]) -> dict[str, li
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, order_threshold: float = SPREADS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, folds: int = FOLDS) -> DataFrame:
     """``(doc_id, lang, n_chars, perplexity, threshold, kept)`` per row of ``docs``; documents above their language's threshold are rejected.
 
-    Trusted are documents with a label of quality 1; nine tenths of them (by a hash of doc_id) train a model for each language, the rest
-    set its thresholds. ``perplexity`` is per character: exp of the mean loss, taken with PRIOR_CHARS characters at the language's
-    median. Labels of other documents are not used.
+    Trusted are documents with a label of quality 1, dealt into ``folds`` by a hash of doc_id. Each fold's documents, trusted or not, are
+    scored by a model per language of the trusted text in the other folds. So all trusted text trains and all of it is held out once:
+    the threshold is the ``quantile`` of a language's trusted documents. ``perplexity`` is per character: exp of the mean loss, taken with
+    PRIOR_CHARS characters at the language's median. Labels of other documents are not used.
 
     A document whose language has no model or no held-out text is kept (threshold null); so is one that is null or empty (perplexity
     null). A null language is a language of its own. Repeated rows and doc_ids are scored each; a doc_id that is labelled more than once
@@ -291,16 +305,22 @@ def classify(docs: DataFrame, labels: DataFrame, order_threshold: float = SPREAD
     """
     spark = docs.sparkSession
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(HELD_OUT)) == 0
-    text = bitmap_filter(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").where(F.length("text") > 0), "doc_id", trusted.where(~fold), "doc_id")
-    model = train(text.where(~fold).join(trusted.where(~fold).hint("shuffle_merge"), "doc_id").select("lang", "text"))
-    scored = cut(score(docs, model), "kn-scores")
-    held = scored.where((F.col("n") > 0) & fold).join(trusted.where(fold), "doc_id").withColumn("mean", F.col("loss") / F.col("n"))
+    fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(folds)).cast("int")
+    text = bitmap_filter(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").where(F.length("text") > 0), "doc_id", trusted, "doc_id")
+    model = train_folds(text.join(trusted.hint("shuffle_merge"), "doc_id").select(fold.alias("fold"), "lang", "text"), folds)
+    scored = None
+    for k in range(folds):
+        mine = model.where(F.col("lang").startswith(f"{k}:")).withColumn("lang", F.expr("substring(lang, instr(lang, ':') + 1)"))
+        one = score(docs.where(fold == k), mine)
+        scored = one if scored is None else scored.union(one)
+    scored = cut(scored, "kn-scores")
+    drop_cut(model)
+    held = scored.where("n > 0").join(trusted, "doc_id").withColumn("mean", F.col("loss") / F.col("n"))
     mid = _quantiles(held, "mean", (0.5,))
     mids = F.broadcast(spark.createDataFrame([(k, v[0]) for k, v in mid.items()], "lang string, mid double"))
     smooth = (F.col("loss") + PRIOR_CHARS * F.col("mid")) / (F.col("n") + PRIOR_CHARS)
-    marks = _quantiles(held.join(mids, "lang").withColumn("mean", smooth), "mean", (0.5, 0.9))
-    limits = F.broadcast(spark.createDataFrame([(k, mid[k][0], a + order_threshold * max(b - a, 0.01)) for k, (a, b) in marks.items()], "lang string, mid double, most double"))
+    marks = _quantiles(held.join(mids, "lang").withColumn("mean", smooth), "mean", (quantile,))
+    limits = F.broadcast(spark.createDataFrame([(k, mid[k][0], q + 0.0005) for k, (q,) in marks.items()], "lang string, mid double, most double"))  # upper end of what rounds to q
     out = scored.join(limits, "lang", "left").withColumn("mean", F.when(F.col("n") > 0, F.coalesce(smooth, F.col("loss") / F.col("n"))))
     out = out.withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
     return out.select("doc_id", "lang", F.col("n").alias("n_chars"), F.exp("mean").alias("perplexity"), F.exp("most").alias("threshold"), F.coalesce(F.col("mean") <= F.col("most"), F.lit(True)).alias("kept"))
