@@ -17,8 +17,8 @@ from .common import cut
 
 #: Labelled documents to learn from at most (a hash of doc_id chooses), and features (words and word beginnings) kept of them.
 TRAIN_ROWS, FEATURES = 12_000, 600
-#: Words that the general character model is made from at most (those in most documents).
-LM_WORDS = 20_000
+#: Distinct tokens or n-grams that a task counts before it passes them on.
+HELD = 200_000
 #: Beginnings of words that are features beside words themselves, in characters.
 BEGINNINGS = (4, 5, 6, 7)
 #: Distance from chance that a feature must have: signed root of its likelihood ratio.
@@ -47,23 +47,36 @@ _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 _EDGE = re.compile(r"^[^\w$@!|+(<]+|[^\w]+$")
 
 
+def trigrams(words: dict[str, float]) -> dict[str, float]:
+    """Summed weights of the character trigrams of words, each with its two leading marks and its end."""
+    n: Counter = Counter()
+    for w, k in words.items():
+        s = "^^" + w + "$"
+        for i in range(2, len(s)):
+            n[s[i - 2 : i + 1]] += k
+    return n
+
+
 class CharModel:
-    """Interpolated character trigrams of weighted words; half general text, half the lexicon to be recognised."""
+    """Interpolated character trigrams of weighted words; half general text, half the lexicon to be recognised.
+
+    General text is given as weighted words or, already counted, as weighted trigrams (``grams``).
+    """
 
-    def __init__(self, general: dict[str, float], lexicon: list[str]) -> None:
-        self.parts = [self._count(general), self._count(dict.fromkeys(lexicon, 1.0) or general)]
-        self.letters = sorted({c for w in [*general, *lexicon] for c in w})
+    def __init__(self, general: dict[str, float], lexicon: list[str], grams: dict[str, float] | None = None) -> None:
+        if grams is None:
+            grams = trigrams(general)
+        self.parts = [self._shares(grams), self._shares(trigrams(dict.fromkeys(lexicon, 1.0)) or grams)]
+        self.letters = sorted({g[-1] for g in grams if g[-1] != "$"} | {c for w in lexicon for c in w})
         self.uniform = 1.0 / (len(self.letters) + 1)
         self.memo: dict[tuple[str, str], float] = {}
 
     @staticmethod
-    def _count(words: dict[str, float]) -> list[dict[str, float]]:
+    def _shares(grams: dict[str, float]) -> list[dict[str, float]]:
         n: list[Counter] = [Counter() for _ in range(3)]
-        for w, k in words.items():
-            s = "^^" + w + "$"
-            for i in range(2, len(s)):
-                for m in range(3):
-                    n[m][s[i - m : i + 1]] += k
+        for g, k in grams.items():
+            for m in range(3):
+                n[m][g[2 - m :]] += k
         out: list[dict[str, float]] = []
         for m in range(3):
             total: Counter = Counter()
@@ -184,6 +197,58 @@ def _count(batches) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array([n[x] for x in k], pa.int64()), pa.array([bad[x] for x in k], pa.int64())], ["f", "n", "bad"])
 
 
+def _pairs(n: dict, kind) -> Iterator:
+    import pyarrow as pa
+
+    keys = list(n)
+    for s in range(0, len(keys), 50_000):
+        k = keys[s : s + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array([n[x] for x in k], kind)], ["w", "n"])
+
+
+def _words(batches) -> Iterator:
+    """Words with the number of (document, token) pairs that hold them; a task passes on what it has whenever it holds HELD tokens."""
+    import pyarrow as pa
+
+    tokens: Counter = Counter()
+
+    def flush() -> Iterator:
+        n: Counter = Counter()
+        for t, k in tokens.items():
+            for w in _WORD.findall(t):
+                n[w] += k
+        tokens.clear()
+        yield from _pairs(n, pa.int64())
+
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            tokens.update(set(text.lower().split()))
+            if len(tokens) > HELD:
+                yield from flush()
+    yield from flush()
+
+
+def _grams(batches) -> Iterator:
+    """Character trigrams of words, a word weighing the root of its documents."""
+    import pyarrow as pa
+
+    grams: Counter = Counter()
+    for b in batches:
+        grams.update(trigrams({w: math.sqrt(k) for w, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}))
+        if len(grams) > HELD:
+            yield from _pairs(grams, pa.float64())
+            grams.clear()
+    yield from _pairs(grams, pa.float64())
+
+
+def general_trigrams(docs: DataFrame) -> dict[str, float]:
+    """Weighted character trigrams of the words of all documents, labelled or not."""
+    words = docs.select("text").where("text is not null").mapInArrow(_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    grams = words.mapInArrow(_grams, "w string, n double").groupBy("w").agg(F.round(F.sum("n"), 3).alias("n"))  # sums in any order
+    tab = grams.toArrow()
+    return dict(sorted(zip(tab.column("w").to_pylist(), tab.column("n").to_pylist())))
+
+
 def _matrix(shared):
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -263,7 +328,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
 
     Learns from labelled documents that aren't held out, ``train_rows`` of them at most. Features are words and word beginnings whose
     documents are toxic more often than chance (MIN_Z); a logistic regression weighs them. The channel's language model mixes character
-    trigrams of frequent words with those of the words that tell toxic text. Every whole text is decoded and scored; only the text is
+    trigrams of the words of all documents, labelled or not, with those of the words that tell toxic text. Every whole text is decoded and scored; only the text is
     an input of a score.
 
     Null and empty texts get the score of a text without features. A doc_id labelled more than once is toxic if some label says so;
@@ -282,9 +347,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     part = lambda k, share: F.when(k > 0, k * F.log(k / (F.col("n") * share))).otherwise(0.0)
     z = F.signum(x - F.col("n") * rate) * F.sqrt(F.greatest(F.lit(0.0), 2 * (part(x, rate) + part(y, 1 - rate))))
     best = found.withColumn("z", z).where(f"z >= {MIN_Z}").orderBy(F.desc("z"), "f").limit(FEATURES).collect()
-    common = found.where("f not like '^%'").orderBy(F.desc("n"), "f").limit(LM_WORDS).collect()
     known = {r.f: i for i, r in enumerate(best)}
-    model = CharModel({r.f: math.sqrt(r.n) for r in common}, [r.f for r in best if r.f[0] != "^"])
+    model = CharModel({}, [r.f for r in best if r.f[0] != "^"], general_trigrams(docs))
     data = rows.mapInArrow(_matrix(spark.sparkContext.broadcast(cloudpickle.dumps((known, model)))), "toxic int, fs array<int>").collect()  # train_rows at most
     x = np.zeros((len(data), len(known)), np.float32)
     for i, r in enumerate(data):
