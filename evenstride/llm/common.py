@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than the ASCII space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 _local_dirs: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,8 @@ def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, kind)
     df.write.parquet(path)
+    for held in _scopes:
+        held.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -46,9 +51,24 @@ def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a ``cut`` table that nothing reads any more."""
     path = getattr(df, "_cut_path", None)
     if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete every table that ``cut`` makes within the block at its end; what should stay must have been written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
 
 
 def word_count(text: Column) -> Column:

@@ -128,7 +128,7 @@ def _text_pieces(col) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         i = j
 
 
-BASE_SCHEMA = "doc_id long, n long, node long, sig array<int>"
+BASE_SCHEMA = "doc_id long, th long, n long, node long, sig array<int>"
 SET_SCHEMA = "node long, sig array<int>, n long, shingles binary"
 
 
@@ -160,7 +160,7 @@ def _read(full: bool):
                     byte = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(np.concatenate([[0], at * 8]).astype(np.int32)), pa.py_buffer(s)])
                     yield pa.RecordBatch.from_arrays([nodes, lists, pa.array(n.astype(np.int64)), byte], ["node", "sig", "n", "shingles"])
                 else:
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n.astype(np.int64)), nodes, lists], ["doc_id", "n", "node", "sig"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), b.column(2).slice(i, j - i), pa.array(n.astype(np.int64)), nodes, lists], ["doc_id", "th", "n", "node", "sig"])
 
     return run
 
@@ -301,7 +301,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Rows with one doc_id are one document for ``kept`` but each keeps its row; a null doc_id never is the smallest unless alone, and is
     not kept then. An empty table gives no rows; other columns are ignored.
     """
-    base = cut(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(_read(False), BASE_SCHEMA), "near-base")
+    out = groups(docs, percent)
+    comp = F.coalesce("label", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
+
+
+def surplus(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``(doc_id, th)`` of the rows that are not the one to stay of their group of near-duplicates (th: xxhash64 of the text).
+
+    Of each group the smallest doc_id stays, null last, ties by th. Texts without words are in no group. Decided row by row: of two
+    texts under one doc_id, or two without any, each goes or stays by its own group.
+    """
+    rows = groups(docs, percent).where("n > 0").select("doc_id", "th", "group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th").alias("rank"))
+    first = rows.groupBy("group").agg(F.min("rank").alias("first"))
+    return rows.join(first, "group").where(~F.col("rank").eqNullSafe(F.col("first"))).select("doc_id", "th").distinct()
+
+
+def groups(docs: DataFrame, percent: int) -> DataFrame:
+    """``(doc_id, th, n, group, label)`` per row: the text's hash, its set's size, its group (a node of it) and the group's smallest doc_id."""
+    base = cut(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64("text").alias("th")).mapInArrow(_read(False), BASE_SCHEMA), "near-base")
     nodes = cut(base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "near-nodes")
     least = matches(percent)
     prefix = COORDINATES - least + 1
@@ -325,7 +343,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     drop_cut(sets)
     linked = nodes.select("node", "rep").join(components(links), "node", "left")
     lowest = linked.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
-    label = linked.join(lowest, "component", "left").select("node", F.coalesce("least", "rep").alias("label"))
-    out = base.select("doc_id", "n", "node").join(label, "node", "left")
-    comp = F.coalesce("label", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
+    label = linked.join(lowest, "component", "left").select("node", F.coalesce("component", "node").alias("group"), F.coalesce("least", "rep").alias("label"))
+    return base.select("doc_id", "th", "n", "node").join(label, "node", "left").select("doc_id", "th", "n", "group", "label")

@@ -317,8 +317,15 @@ def _decode(shared):
     return run
 
 
+_shared: dict = {}
+
+
 def _share(df: DataFrame, model: str):
-    return df.sparkSession.sparkContext.broadcast({"model": load(model), "made": {}})
+    """The vocabulary as a broadcast, one for each application and model however many queries run."""
+    sc = df.sparkSession.sparkContext
+    if (sc.applicationId, model) not in _shared:
+        _shared[sc.applicationId, model] = sc.broadcast({"model": load(model), "made": {}})
+    return _shared[sc.applicationId, model]
 
 
 def encode(docs: DataFrame, model: str = MODEL, seed: int = 11, dropout: float = DROPOUT, versions: int = VERSIONS) -> DataFrame:

@@ -70,10 +70,11 @@ def text_pieces(texts: list[str], start: int = 0) -> Iterator[list[tuple[int, st
         yield out
 
 
-def _by_lang(b, lang: int, text: int) -> Iterator[tuple[str, np.ndarray, list[str]]]:
-    langs = b.column(lang).to_pylist()
-    rows: dict[str, list[int]] = {}
-    for i, x in enumerate(langs):
+def _by_lang(b, lang: int, text: int, fold: int | None = None) -> Iterator[tuple[tuple[int, str], np.ndarray, list[str]]]:
+    """Rows and texts of a batch for each (fold, language); without a fold column all are of fold 0."""
+    folds = b.column(fold).to_pylist() if fold is not None else [0] * b.num_rows
+    rows: dict[tuple[int, str], list[int]] = {}
+    for i, x in enumerate(zip(folds, b.column(lang).to_pylist())):
         rows.setdefault(x, []).append(i)
     texts = b.column(text)
     for x, at in rows.items():
@@ -96,7 +97,7 @@ def _count(batches) -> Iterator:
         return k[at], np.add.reduceat(n, at) if len(at) else n
 
     for b in batches:
-        for lang, _, texts in _by_lang(b, 0, 1):
+        for (_, lang), _, texts in _by_lang(b, 0, 1):
             for part in text_pieces(texts):
                 keys = np.sort(packed([(c, t) for _, c, t in part])[0])
                 new = np.ones(len(keys), bool)
@@ -149,14 +150,14 @@ def _model(counts: DataFrame) -> DataFrame:
     spark = counts.sparkSession
     level = {ORDER: cut(counts, "kn-counts")}
     for m in range(ORDER - 1, 0, -1):
-        level[m] = level[m + 1].groupBy("lang", F.col("key").bitwiseAND(F.lit(_mask(m))).alias("key")).agg(F.count("*").alias("n"))
-    rows, lower = [], None
+        level[m] = cut(level[m + 1].groupBy("lang", F.col("key").bitwiseAND(F.lit(_mask(m))).alias("key")).agg(F.count("*").alias("n")), "kn-counts")
+    rows, lower, made = [], None, list(level.values())
     for m in range(1, ORDER + 1):
         t = level[m]
         stats = t.groupBy("lang").agg(F.count("*").alias("v"), *[F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()  # a row per language
         d = spark.createDataFrame([(r.lang, *discounts([r.n1, r.n2, r.n3, r.n4]), 1.0 / (r.v + 1)) for r in stats], "lang string, d1 double, d2 double, d3 double, u double")
         t = t.join(F.broadcast(d), "lang").withColumn("ctx", F.shiftright("key", BITS)).withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        ctx = t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
+        ctx = cut(t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("held")), "kn-contexts")
         t = t.join(ctx, ["lang", "ctx"])
         if lower is None:
             t = t.withColumn("p_low", F.col("u"))
@@ -164,20 +165,24 @@ def _model(counts: DataFrame) -> DataFrame:
         else:
             t = t.withColumn("low", F.col("key").bitwiseAND(F.lit(_mask(m - 1)))).join(lower.select("lang", F.col("key").alias("low"), F.col("p").alias("p_low")), ["lang", "low"])
         lower = cut(t.select("lang", "key", ((F.col("n") - F.col("d")) / F.col("total") + F.col("held") / F.col("total") * F.col("p_low")).alias("p")), "kn-p")
+        made += [ctx, lower]
         rows.append(lower.select("lang", F.lit(m).alias("tag"), "key", F.log("p").alias("val")))
         rows.append(ctx.select("lang", F.lit(8 + m - 1).alias("tag"), F.col("ctx").alias("key"), F.log(F.col("held") / F.col("total")).alias("val")))
     model = rows[0]
     for r in rows[1:]:
         model = model.union(r)
-    return cut(model, "kn-model")
+    model = cut(model, "kn-model")
+    for t in made:
+        drop_cut(t)
+    return model
 
 
 class Table:
-    """Open-addressing hash table over int64 keys, built and read a whole array at a time."""
+    """Open-addressing hash table from int64 keys to a row of values (one for each fold), built and read a whole array at a time."""
 
     def __init__(self, keys: np.ndarray, vals: np.ndarray) -> None:
         self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.keys, self.vals = np.full(1 << self.bits, _EMPTY), np.zeros(1 << self.bits, np.float32)
+        self.keys, self.vals = np.full(1 << self.bits, _EMPTY), np.zeros((1 << self.bits, vals.shape[1]), np.float32)
         left, at = np.arange(len(keys)), self._slot(keys)
         while len(left):
             free = self.keys[at] == _EMPTY
@@ -189,35 +194,38 @@ class Table:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values; nan where a key isn't there."""
+    def get(self, keys: np.ndarray, fold: int = 0) -> np.ndarray:
+        """Values of a fold; nan where a key isn't there."""
         at = self._slot(keys)
         there = self.keys[at]
-        out = np.where(there == keys, self.vals[at], np.float32(np.nan))
+        out = np.where(there == keys, self.vals[at, fold], np.float32(np.nan))
         left = np.flatnonzero((there != keys) & (there != _EMPTY))
         at = at[left]
         while len(left):
             at = (at + 1) & ((1 << self.bits) - 1)
             there = self.keys[at]
             hit = there == keys[left]
-            out[left[hit]] = self.vals[at[hit]]
+            out[left[hit]] = self.vals[at[hit], fold]
             go = ~hit & (there != _EMPTY)
             left, at = left[go], at[go]
         return out
 
 
-def log_probs(table: Table, keys: np.ndarray) -> np.ndarray:
+_UNIFORM = 15 << 56
+
+
+def log_probs(table: Table, keys: np.ndarray, fold: int = 0) -> np.ndarray:
     """Log probability of each n-gram's last character: the longest known n-gram, with the back-off weights of longer contexts."""
     out, left = np.zeros(len(keys)), np.arange(len(keys))
     for m in range(ORDER, 0, -1):
-        v = table.get((keys[left] & _mask(m)) | (m << 56))
+        v = table.get((keys[left] & _mask(m)) | (m << 56), fold)
         hit = ~np.isnan(v)
         out[left[hit]] += v[hit]
         left = left[~hit]
         if not len(left):
             return out
-        out[left] += np.nan_to_num(table.get(((keys[left] >> BITS) & _mask(m - 1)) | (8 + m - 1) << 56))
-    out[left] += table.get(np.array([15 << 56]))[0]
+        out[left] += np.nan_to_num(table.get(((keys[left] >> BITS) & _mask(m - 1)) | (8 + m - 1) << 56, fold))
+    out[left] += table.get(np.array([_UNIFORM]), fold)[0]
     return out
 
 
@@ -225,18 +233,38 @@ def _shard_of(keys, shards: int):
     return (keys >> BITS & _mask(2)) % 1000003 % shards
 
 
-def _score(model, shard: int, shards: int):
+def _pack(folds: int):
+    """Model rows of a partition as one row of bytes per language: keys, and their values fold by fold (nan where a fold has none)."""
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            code = b.column(0).dictionary_encode()
+            at, names = code.indices.to_numpy(zero_copy_only=False), code.dictionary.to_pylist()
+            keys = b.column(1).to_numpy()
+            vals = np.stack([b.column(2 + k).to_numpy(zero_copy_only=False).astype(np.float32) for k in range(folds)], 1)
+            mine = [at == i for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([keys[x].tobytes() for x in mine], pa.binary()), pa.array([vals[x].tobytes() for x in mine], pa.binary())], ["lang", "keys", "vals"])
+
+    return run
+
+
+def _score(model, folds: int, shard: int, shards: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         held = model.value
         if "tables" not in held:
-            held["tables"] = {lang: Table(k, v) for lang, (k, v) in held["rows"].items()}
+            parts: dict[str, list] = {}
+            for lang, k, v in held["rows"]:
+                parts.setdefault(lang, []).append((np.frombuffer(k, np.int64), np.frombuffer(v, np.float32).reshape(-1, folds)))
+            held["tables"] = {lang: Table(np.concatenate([k for k, _ in x]), np.concatenate([v for _, v in x])) for lang, x in parts.items()}
+            del held["rows"]
         for b in batches:
             total, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for lang, at, texts in _by_lang(b, 1, 3):
+            for (fold, lang), at, texts in _by_lang(b, 1, 3, 4):
                 t = held["tables"].get(lang)
-                if t is None:
+                if t is None or np.isnan(t.get(np.array([_UNIFORM]), fold)[0]):
                     continue
                 for part in text_pieces(texts):
                     keys, lens = packed([(c, x) for _, c, x in part])
@@ -244,42 +272,57 @@ def _score(model, shard: int, shards: int):
                     if shards > 1:
                         mine = _shard_of(keys, shards) == shard
                         keys, row = keys[mine], row[mine]
-                    total += np.bincount(row, log_probs(t, keys), b.num_rows)
+                    total += np.bincount(row, log_probs(t, keys, fold), b.num_rows)
                     n += np.bincount(row, minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(-total), pa.array(n)], ["doc_id", "lang", "th", "bits", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(-total), pa.array(n)], ["doc_id", "lang", "th", "loss", "n"])
 
     return run
 
 
-def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, shard_rows: int = SHARD_ROWS, folds: int | None = None) -> DataFrame:
     """``(doc_id, lang, th, loss, n, copies)``: negative log-likelihood and characters of each text (th: its hash), equal rows together.
 
+    With ``folds``, ``model`` is that of ``train_folds`` and a document is scored by the values of its own fold (``fold_of``); the folds'
+    values stand side by side in one table, so all texts are read once, not once for each fold.
+
     Every character is scored in the shard of the model that its two preceding characters belong to; n-grams and contexts too short
-    for that are in all shards. Shards of at most about ``shard_rows`` rows are broadcast, one for each pass, and the passes' sums added.
+    for that are in all shards. Executors pack a shard (of about ``shard_rows`` n-grams at most) into bytes, the driver only passes them
+    on, and a shard is taken back from all of them as soon as its pass over the texts is written; so neither holds more than one. The
+    passes' sums are added.
     """
-    spark = docs.sparkSession
-    rows = model.count()
-    shards = max(1, -(-rows // shard_rows))
-    d = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+    spark, k = docs.sparkSession, folds or 1
+    lang = F.col("lang") if folds is None else F.expr("substring(lang, instr(lang, ':') + 1)")
+    fold = F.lit(0) if folds is None else F.substring_index("lang", ":", 1).cast("int")
+    wide = model.select(lang.alias("lang"), fold.alias("fold"), "tag", "key", F.col("val").cast("float").alias("val"))
+    if folds is not None:
+        wide = wide.groupBy("lang", "tag", "key").agg(*[F.max(F.when(F.col("fold") == i, F.col("val"))).alias(f"v{i}") for i in range(k)])
+    else:
+        wide = wide.select("lang", "tag", "key", F.col("val").alias("v0"))
+    wide = cut(wide, "kn-wide")
+    shards = max(1, -(-wide.count() // shard_rows))
+    own = F.lit(0) if folds is None else fold_of(folds)
+    d = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text"), own.alias("fold"))
     short = F.col("tag").isin(1, 2, 8, 9, 15)
     ctx2 = F.when(F.col("tag") < 8, F.shiftright("key", BITS)).otherwise(F.col("key")).bitwiseAND(F.lit(_mask(2)))
     out = None
     for s in range(shards):
-        part = model.where(short | (ctx2 % 1000003 % shards == s)).select("lang", (F.shiftleft(F.col("tag").cast("long"), 56).bitwiseOR(F.col("key"))).alias("key"), F.col("val").cast("float").alias("val"))
-        tab = part.toArrow()
-        code = tab.column("lang").combine_chunks().dictionary_encode()
-        at, names = code.indices.to_numpy(zero_copy_only=False), code.dictionary.to_pylist()
-        keys, vals = tab.column("key").to_numpy(), tab.column("val").to_numpy()
-        del tab, code
-        table = {lang: (keys[at == i], vals[at == i]) for i, lang in enumerate(names)}
-        del keys, vals, at
-        one = d.mapInArrow(_score(spark.sparkContext.broadcast({"rows": table}), s, shards), "doc_id long, lang string, th long, loss double, n long")
-        del table
+        part = wide.where(short | (ctx2 % 1000003 % shards == s)).select("lang", (F.shiftleft(F.col("tag").cast("long"), 56).bitwiseOR(F.col("key"))).alias("key"), *[f"v{i}" for i in range(k)])
+        tab = part.mapInArrow(_pack(k), "lang string, keys binary, vals binary").toArrow()
+        sent = spark.sparkContext.broadcast({"rows": list(zip(*(c.to_pylist() for c in tab.columns)))})
+        del tab
+        one = cut(d.mapInArrow(_score(sent, k, s, shards), "doc_id long, lang string, th long, loss double, n long"), "kn-pass")
+        sent.destroy()
         out = one if out is None else out.union(one)
+    drop_cut(wide)
     sums = out.groupBy("doc_id", "lang", "th").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n"), (F.count("*") / shards).cast("int").alias("copies"))
     return sums.select("doc_id", "lang", "th", (F.col("loss") / F.col("copies")).alias("loss"), F.expr("n div copies").alias("n"), "copies")
 
 
+def fold_of(folds: int):
+    """The fold of a document, by a hash of its doc_id."""
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(folds)).cast("int")
+
+
 def _quantiles(df: DataFrame, value: str, at: tuple[float, ...]) -> dict[str, list[float]]:
     """Quantiles by language of values rounded to thousandths: counts of at most some thousand different values per language."""
     hist = df.groupBy("lang", F.round(F.col(value) * 1000).cast("int").alias("b")).agg(F.sum("copies").alias("n")).collect()
@@ -292,7 +335,14 @@ def _quantiles(df: DataFrame, value: str, at: tuple[float, ...]) -> dict[str, li
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, folds: int = FOLDS) -> DataFrame:
-    """``(doc_id, lang, n_chars, perplexity, threshold, kept)`` per row of ``docs``; documents above their language's threshold are rejected.
+    """``(doc_id, lang, n_chars, perplexity, threshold, kept)`` per row of ``docs``: what ``judge`` says of each text, for every row that has it."""
+    out = judge(docs, labels, quantile, folds).withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
+    return out.select("doc_id", "lang", "n_chars", "perplexity", "threshold", "kept")
+
+
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, folds: int = FOLDS) -> DataFrame:
+    """``(doc_id, lang, th, copies, n_chars, perplexity, threshold, kept)``, equal rows together (th: xxhash64 of the text, lang "" for null);
+    documents above their language's threshold are rejected.
 
     Trusted are documents with a label of quality 1, dealt into ``folds`` by a hash of doc_id. Each fold's documents, trusted or not, are
     scored by a model per language of the trusted text in the other folds. So all trusted text trains and all of it is held out once:
@@ -305,15 +355,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, fol
     """
     spark = docs.sparkSession
     trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fold")), F.lit(folds)).cast("int")
     text = bitmap_filter(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").where(F.length("text") > 0), "doc_id", trusted, "doc_id")
-    model = train_folds(text.join(trusted.hint("shuffle_merge"), "doc_id").select(fold.alias("fold"), "lang", "text"), folds)
-    scored = None
-    for k in range(folds):
-        mine = model.where(F.col("lang").startswith(f"{k}:")).withColumn("lang", F.expr("substring(lang, instr(lang, ':') + 1)"))
-        one = score(docs.where(fold == k), mine)
-        scored = one if scored is None else scored.union(one)
-    scored = cut(scored, "kn-scores")
+    model = train_folds(text.join(trusted.hint("shuffle_merge"), "doc_id").select(fold_of(folds).alias("fold"), "lang", "text"), folds)
+    scored = cut(score(docs, model, folds=folds), "kn-scores")
     drop_cut(model)
     held = scored.where("n > 0").join(trusted, "doc_id").withColumn("mean", F.col("loss") / F.col("n"))
     mid = _quantiles(held, "mean", (0.5,))
@@ -322,5 +366,4 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, fol
     marks = _quantiles(held.join(mids, "lang").withColumn("mean", smooth), "mean", (quantile,))
     limits = F.broadcast(spark.createDataFrame([(k, mid[k][0], q + 0.0005) for k, (q,) in marks.items()], "lang string, mid double, most double"))  # upper end of what rounds to q
     out = scored.join(limits, "lang", "left").withColumn("mean", F.when(F.col("n") > 0, F.coalesce(smooth, F.col("loss") / F.col("n"))))
-    out = out.withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
-    return out.select("doc_id", "lang", F.col("n").alias("n_chars"), F.exp("mean").alias("perplexity"), F.exp("most").alias("threshold"), F.coalesce(F.col("mean") <= F.col("most"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "lang", "th", "copies", F.col("n").alias("n_chars"), F.exp("mean").alias("perplexity"), F.exp("most").alias("threshold"), F.coalesce(F.col("mean") <= F.col("most"), F.lit(True)).alias("kept"))

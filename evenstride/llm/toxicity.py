@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_cut
 
 #: Labelled documents to learn from at most (a hash of doc_id chooses), and features (words and word beginnings) kept of them.
 TRAIN_ROWS, FEATURES = 12_000, 600
@@ -349,7 +349,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     best = found.withColumn("z", z).where(f"z >= {MIN_Z}").orderBy(F.desc("z"), "f").limit(FEATURES).collect()
     known = {r.f: i for i, r in enumerate(best)}
     model = CharModel({}, [r.f for r in best if r.f[0] != "^"], general_trigrams(docs))
-    data = rows.mapInArrow(_matrix(spark.sparkContext.broadcast(cloudpickle.dumps((known, model)))), "toxic int, fs array<int>").collect()  # train_rows at most
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps((known, model)))
+    data = rows.mapInArrow(_matrix(sent), "toxic int, fs array<int>").collect()  # train_rows at most
+    sent.destroy()
     x = np.zeros((len(data), len(known)), np.float32)
     for i, r in enumerate(data):
         x[i, r.fs] = 1
@@ -357,5 +359,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_
     shares = np.array([(r.bad + PRIOR_DOCS * rate) / (r.n + PRIOR_DOCS) for r in best])
     shares[shares < SURE] = 0
     shared = spark.sparkContext.broadcast(cloudpickle.dumps((known, model, weights, bias, shares)))  # by value: executors need no copy of this package
-    scored = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_scores(shared), "doc_id long, score double")
+    scored = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_scores(shared), "doc_id long, score double"), "tox-scores")
+    shared.destroy()
+    drop_cut(rows)
+    drop_cut(found)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
