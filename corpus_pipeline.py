@@ -9,24 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenstride.llm import mixing, neardup, pieces, pii, quality
-from evenstride.llm.common import cut, table
+from evenstride.llm.common import delete, new_path, released, table
 
 
 #: Similarity in percent from which the near-duplicate stage links two documents: that of op3_minhash, which the stage's test compares with.
 NEAR_PERCENT = 85
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with what tells them apart, without nulls: doc_id, whether it is null, and a hash of the text."""
+    return docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull(), "__th": F.xxhash64("text")})
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that aren't in ``gone(doc_id, th, ...)``; a null doc_id is matched like any other."""
+    gone = gone.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull()}).withColumnRenamed("th", "__th")
+    return _keyed(docs).join(gone, [c for c in gone.columns if c.startswith("__")], "left_anti")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    bad = quality.classify(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the quality classifier keeps; each row is judged by its own text and language."""
+    bad = quality.judge(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id", "th", F.col("lang").alias("__lang")).distinct()
+    return _without(docs.withColumn("__lang", F.coalesce("lang", F.lit(""))), bad).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates."""
-    gone = neardup.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").withColumn("__hash", F.xxhash64("text"))
-    return rest.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    """One row, that of the smallest doc_id, of each group of near-duplicates; of equal rows without words one too."""
+    rest = _without(docs, neardup.surplus(docs, percent=NEAR_PERCENT))
+    return rest.dropDuplicates(["__id", "__none", "__th"]).select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +66,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's output is written to the shared folder; what a stage itself wrote on the way goes then."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "stage-" + "-".join(name.split()))
+        path = new_path(spark, "stage-" + "-".join(name.split()))
+        with released(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last:
+            delete(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
