@@ -104,13 +104,17 @@ def mix(docs: DataFrame, seed: int = 7, parts: int = 4096) -> DataFrame:
     is taken in part, so a source's taken words equal its quota. No task orders a whole source: the hash deals documents into ``parts``
     parts, whose sums give each part its offset.
 
-    A null text has size 0, a null source is a source of its own (the last). Repeated rows count each; an empty table gives no rows.
+    A null text has size 0, a null source (or a null array of them) is a source of its own (the last); a document with an empty array
+    belongs to none and is not taken. Repeated rows count each; an empty table gives no rows.
     """
     spark = docs.sparkSession
     many = dict(docs.dtypes)["source"].startswith("array")
-    member = F.array_sort(F.array_distinct("source")) if many else F.array("source")
-    base = cut(docs.select("doc_id", member.alias("p"), word_count(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64(F.lit(seed), "doc_id", F.crc32("text")).alias("u")), "mix")
-    pats = {tuple(r.p): r.s for r in base.groupBy("p").agg(F.sum("size").alias("s")).collect()}
+    member = F.coalesce(F.array_sort(F.array_distinct("source")), F.array(F.lit(None).cast("string"))) if many else F.array("source")
+    name = F.expr("array_join(transform(p, x -> if(x is null, '-', concat('+', hex(x)))), ',')")  # of a pattern, without nulls
+    rows = docs.select("doc_id", "text", member.alias("p"))
+    base = cut(rows.select("doc_id", "p", name.alias("pk"), word_count(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64(F.lit(seed), "doc_id", F.crc32("text")).alias("u")), "mix")
+    found = base.groupBy("pk").agg(F.first("p").alias("p"), F.sum("size").alias("s")).collect()  # a row per pattern
+    pats = {tuple(r.p): r.s for r in found}
     sizes: dict = {}
     for p, n in pats.items():
         for s in p:
@@ -122,11 +126,11 @@ def mix(docs: DataFrame, seed: int = 7, parts: int = 4096) -> DataFrame:
         target = targets(sizes)
     took = route(pats, quotas(target))
     plan = spark.createDataFrame(
-        [(list(p), sum(sizes[s] for s in p), float(sum(target[s] for s in p)), took[p] // n if n else 0, took[p] % n if n else 0) for p, n in pats.items()],
-        "p array<string>, source_size long, target double, whole long, rest long",
-    ).withColumn("pk", F.xxhash64("p")).drop("p")
+        [(r.pk, sum(sizes[s] for s in r.p), float(sum(target[s] for s in r.p)), took[tuple(r.p)] // r.s if r.s else 0, took[tuple(r.p)] % r.s if r.s else 0) for r in found],
+        "pk string, source_size long, target double, whole long, rest long",
+    )
     part = F.pmod(F.shiftright("u", 20), F.lit(parts))
-    base = base.withColumn("part", part).withColumn("pk", F.xxhash64("p"))
+    base = base.withColumn("part", part).drop("p")
     sums = base.groupBy("pk", "part").agg(F.sum("size").alias("n"))
     before = sums.select("pk", "part", (F.sum("n").over(Window.partitionBy("pk").orderBy("part")) - F.col("n")).alias("before"))
     w = Window.partitionBy("pk", "part").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -146,11 +150,12 @@ def take(docs: DataFrame, seed: int = 7) -> DataFrame:
     Documents of which nothing is taken go; ``n_chars``, if there, is that of the text that stays. Equal rows are told apart by number.
     """
     names = docs.columns
-    crc, w = F.crc32(F.coalesce("text", F.lit(""))), Window.partitionBy("doc_id", "text_crc32")
-    plan = mix(docs, seed).where("taken > 0").withColumn("__rn", F.row_number().over(w.orderBy("taken")))
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "__rn", F.expr("taken div size").alias("__whole"), F.expr("taken % size").alias("__part"))
-    rows = docs.withColumn("text_crc32", crc).withColumn("__rn", F.row_number().over(w.orderBy("doc_id"))).withColumnRenamed("text_crc32", "__crc").withColumnRenamed("doc_id", "__doc")
-    got = rows.join(plan.withColumnRenamed("__crc", "__crc2").withColumnRenamed("__rn", "__rn2"), F.expr("__doc <=> __id and __crc = __crc2 and __rn = __rn2"))
+    w = Window.partitionBy("__doc", "__crc")
+    plan = mix(docs, seed).select(F.col("doc_id").alias("__doc"), F.col("text_crc32").alias("__crc"), "size", "taken")
+    plan = plan.withColumn("__rn2", F.row_number().over(w.orderBy("taken"))).where("taken > 0")
+    plan = plan.select(F.col("__doc").alias("__id"), F.col("__crc").alias("__crc2"), "__rn2", F.expr("taken div size").alias("__whole"), F.expr("taken % size").alias("__part"))
+    rows = docs.withColumn("__crc", F.crc32(F.coalesce("text", F.lit("")))).withColumnRenamed("doc_id", "__doc").withColumn("__rn", F.row_number().over(w.orderBy("__doc")))
+    got = rows.join(plan, F.expr("__doc <=> __id and __crc = __crc2 and __rn = __rn2"))
     got = got.withColumn("__words", F.explode(F.expr("concat(array_repeat(-1L, cast(__whole as int)), if(__part > 0, array(__part), array()))")))
     words = F.regexp_extract_all("text", F.lit(WORD + WORD.replace("[^", "[").replace("+", "*")), F.lit(0))
     first = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("__words"), F.lit(0)).cast("int")), "")
