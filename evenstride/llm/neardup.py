@@ -306,15 +306,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
 
 
-def surplus(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``(doc_id, th)`` of the rows that are not the one to stay of their group of near-duplicates (th: xxhash64 of the text).
+def chosen(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``(doc_id, th)`` of the rows that stay, one of each group of near-duplicates (th: xxhash64 of the text).
 
-    Of each group the smallest doc_id stays, null last, ties by th. Texts without words are in no group. Decided row by row: of two
-    texts under one doc_id, or two without any, each goes or stays by its own group.
+    Of each group the smallest doc_id stays, null last, ties by th. Texts without words are in no group and all stay. Decided row by
+    row: of two texts under one doc_id, or two without any, each goes or stays by its own group. Only rows with their group's smallest
+    doc_id are aggregated, by doc_id and group, so a large group brings its few candidates and no hot task.
     """
-    rows = groups(docs, percent).where("n > 0").select("doc_id", "th", "group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th").alias("rank"))
-    first = rows.groupBy("group").agg(F.min("rank").alias("first"))
-    return rows.join(first, "group").where(~F.col("rank").eqNullSafe(F.col("first"))).select("doc_id", "th").distinct()
+    rows = groups(docs, percent).where((F.col("n") == 0) | F.col("doc_id").eqNullSafe(F.col("label")))
+    return rows.groupBy("doc_id", "group", F.when(F.col("n") == 0, F.col("th")).alias("alone")).agg(F.min("th").alias("th")).select("doc_id", "th")
 
 
 def groups(docs: DataFrame, percent: int) -> DataFrame:
