@@ -5,7 +5,7 @@ Tables may be empty; repeated rows of one document count as one from the near-du
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenstride.llm import mixing, neardup, pieces, pii, quality
@@ -16,27 +16,26 @@ from evenstride.llm.common import delete, new_path, released, table
 NEAR_PERCENT = 85
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with what tells them apart, without nulls: doc_id, whether it is null, and a hash of the text."""
-    return docs.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull(), "__th": F.xxhash64("text")})
+KEYS = ["__id", "__none", "__th"]
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that aren't in ``gone(doc_id, th, ...)``; a null doc_id is matched like any other."""
-    gone = gone.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull()}).withColumnRenamed("th", "__th")
-    return _keyed(docs).join(gone, [c for c in gone.columns if c.startswith("__")], "left_anti")
+def _keyed(rows: DataFrame, text_hash: Column) -> DataFrame:
+    """Rows with what tells them apart, without nulls: doc_id, whether it is null, and a hash of the text."""
+    return rows.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull(), "__th": text_hash})
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; each row is judged by its own text and language."""
-    bad = quality.judge(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id", "th", F.col("lang").alias("__lang")).distinct()
-    return _without(docs.withColumn("__lang", F.coalesce("lang", F.lit(""))), bad).select(*docs.columns)
+    bad = quality.judge(docs, table(spark, sf_dir, "labels")).where("not kept")
+    bad = _keyed(bad, F.col("th")).select(*KEYS, F.col("lang").alias("__lang")).distinct()
+    rows = _keyed(docs, F.xxhash64("text")).withColumn("__lang", F.coalesce("lang", F.lit("")))
+    return rows.join(bad, [*KEYS, "__lang"], "left_anti").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, that of the smallest doc_id, of each group of near-duplicates; of equal rows without words one too."""
-    rest = _without(docs, neardup.surplus(docs, percent=NEAR_PERCENT))
-    return rest.dropDuplicates(["__id", "__none", "__th"]).select(*docs.columns)
+    stay = _keyed(neardup.chosen(docs, percent=NEAR_PERCENT), F.col("th")).select(*KEYS)
+    return _keyed(docs, F.xxhash64("text")).join(stay, KEYS, "left_semi").dropDuplicates(KEYS).select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
