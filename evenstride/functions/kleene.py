@@ -8,6 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
+
+from .clock import ntz_micros
+
 
 @dataclass(frozen=True)
 class KleeneFunction:
@@ -24,7 +28,7 @@ class KleeneFunction:
 
 REGISTRY: dict[str, KleeneFunction] = {}
 #: Other names of functions.
-ALIASES = {"avg": "average", "msd_exceeds_variance_threshold": "sum_square_difference", "size": "count", "cv": "standard_deviation", "slope": "least_squares"}
+ALIASES = {"avg": "average", "msd_exceeds_variance_threshold": "sum_square_difference", "size": "count", "cv": "standard_deviation", "slope": "least_squares", "mannkendalltest": "mann_kendall_test", "linearregressionr2": "linear_regression_r2"}
 MAX_SUBSETS = 16
 
 
@@ -34,6 +38,22 @@ def register_kleene_fn(name: str, build: Callable[[str, int | None], str], **mor
     return fn
 
 
+def register_python_fn(spark, name: str, fn: Callable[[list[float]], float | None], **more) -> KleeneFunction:
+    """Add an opaque Python function of a sequence's values: it runs as a vectorised Arrow function over whole columns of sequences.
+
+    Use it in constraints on bound variables (``f(K) > 1``); those of SQL functions are tested first, as its cost is the highest.
+    """
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("double")
+    def run(col: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else fn([float(v) for v in x]) for x in col], dtype="float64")
+
+    spark.udf.register(f"kleene_{name}", run)
+    more.setdefault("cost", lambda n: 1000.0 * n)
+    return register_kleene_fn(name, lambda a, _=None: f"kleene_{name}({_values(a)})", **more)
+
+
 def lookup(name: str) -> KleeneFunction:
     name = ALIASES.get(name.lower(), name.lower())
     if name not in REGISTRY:
@@ -58,8 +78,11 @@ def _mean(a: str) -> str:
 
 
 def _moments(a: str, body: str) -> str:
-    """``body`` over m: struct(n, s, q) of count, sum and sum of squares, bound once."""
-    return f"transform(array(named_struct('n', cast(size({a}) as double), 's', {_sum(a)}, 'q', {_squares(a)})), m -> {body})[0]"
+    """``body`` over m: struct(n, s, q, d) of count, sum, sum of squares and sum of squared distances from the mean (a second pass, so
+    large values don't cancel), bound once."""
+    off = f"aggregate({a}, 0D, (t, x) -> t + (x.value - s.s / s.n) * (x.value - s.s / s.n))"
+    first = f"array(named_struct('n', cast(size({a}) as double), 's', {_sum(a)}))"
+    return f"transform(transform({first}, s -> named_struct('n', s.n, 's', s.s, 'q', {_squares(a)}, 'd', if(s.n = 0, 0D, {off}))), m -> {body})[0]"
 
 
 def _trend(op: str) -> Callable[[str, int | None], str]:
@@ -112,16 +135,16 @@ register_kleene_fn("non_increasing", _trend(">="))
 register_kleene_fn("non_decreasing", _trend("<="))
 register_kleene_fn(
     "standard_deviation",
-    lambda a, _=None: _moments(a, "case when m.n <= 1 then -1000D when m.s = 0 then 0D else 100D * sqrt(greatest(m.q - m.s * m.s / m.n, 0D) / (m.n - 1)) / (m.s / m.n) end"),
+    lambda a, _=None: _moments(a, "case when m.n <= 1 then -1000D when m.s = 0 then 0D else 100D * sqrt(m.d / (m.n - 1)) / (m.s / m.n) end"),
     cost=lambda n: 2 * n + 1,
 )
 register_kleene_fn(
     "sum_square_difference",
-    lambda a, _=None: _moments(a, "case when m.n <= 1 then -1D else transform(array(m.q / m.n - (m.s / m.n) * (m.s / m.n)), s2 -> 2D * m.n / (m.n - 1) * s2 - 4D * s2 * s2)[0] end"),
+    lambda a, _=None: _moments(a, "case when m.n <= 1 then -1D else transform(array(m.d / m.n), s2 -> 2D * m.n / (m.n - 1) * s2 - 4D * s2 * s2)[0] end"),
 )
 register_kleene_fn("merge_sort", lambda a, k: f"get(array_sort({_values(a)}), {k})", cost=lambda n: n * max(1, n).bit_length(), indexed=True)
 register_kleene_fn("bubble_sort", lambda a, k: f"coalesce(get(array_sort({_values(a)}), {k}), -1D)", cost=lambda n: n * max(1, n).bit_length(), indexed=True)
-register_kleene_fn("binary_search_timestamp", lambda a, t: f"get(filter({a}, x -> unix_timestamp(cast(x.ts as timestamp)) = {t}), 0).value", indexed=True)
+register_kleene_fn("binary_search_timestamp", lambda a, t: f"get(filter({a}, x -> {ntz_micros('x.ts')} div 1000000 = {t}), 0).value", indexed=True)
 register_kleene_fn("triplet_sum", lambda a, _=None: f"power({_sum(a)}, 3D)")
 register_kleene_fn("permutations", lambda a, _=None: f"get({a}, 0).value", cost=lambda n: 1)
 register_kleene_fn("combinations_square", lambda a, k: _moments(a, f"case when m.n < {k} or m.n = 0 then 0D else {_choose('m.n', k)} / m.n * m.q end"), indexed=True)

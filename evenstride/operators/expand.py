@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.clock import ntz_micros
 from ..functions.kleene import GENERATORS, lookup, monotone_subsequences
 
 WEEK_SQL = "CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) AS BIGINT)"
@@ -82,9 +83,9 @@ SELECT user_id, wk, round(total, 6) AS result FROM r WHERE place = n // 2"""
 
 
 def at_ts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Value at an exact timestamp: that of each sequence's last event, found by its time."""
+    """Value at an exact second: for sequences of even length that of the event after their middle, for others one nothing happened at."""
     s = sequences(spark, sf_dir)
-    t = "unix_timestamp(cast(get(a, size(a) - 1).ts as timestamp))"
+    t = f"({ntz_micros('get(a, size(a) div 2).ts')} div 1000000 + if(size(a) % 2 = 0, 0, 700000))"
     return s.select("user_id", "wk", F.expr(f"round({lookup('binary_search_timestamp').build('a', t)}, 6)").alias("result"))
 
 
@@ -123,12 +124,30 @@ def shared_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ab.join(bc, ["user_id", "wk", "b_id"]).select("user_id", "wk", "a_id", "b_id", "c_id")
 
 
+def spans(events: DataFrame, first: str, last: str, days: int) -> DataFrame:
+    """Pairs of an event of one type and a later one of another within ``days``, of one user: ``(user_id, a_id, c_id, bs, be)``.
+
+    An equi-join on user and ``days``-wide bucket (the first looks into its bucket and the next), the time as residual.
+    """
+    us, wide = F.expr(ntz_micros("ts")), days * 86_400_000_000
+    a = events.where(F.col("event_type") == first).select("user_id", F.col("event_id").alias("a_id"), us.alias("bs"))
+    a = a.withColumn("bucket", F.explode(F.expr(f"array(floor(bs / {wide}), floor(bs / {wide}) + 1)")))
+    c = events.where(F.col("event_type") == last).select("user_id", F.col("event_id").alias("c_id"), us.alias("be")).withColumn("bucket", F.expr(f"floor(be / {wide})"))
+    return a.join(c, ["user_id", "bucket"]).where(f"be > bs and be <= bs + {wide}").drop("bucket")
+
+
+def contained(base: DataFrame, combos: DataFrame, days: int, strict: bool = False) -> DataFrame:
+    """Combinations (times ``s`` to ``e``) within spans of at most ``days`` (``bs`` to ``be``): a span looks for starts in its two buckets."""
+    wide, op = days * 86_400_000_000, "" if strict else "="
+    combos = combos.withColumns({"s": F.expr(ntz_micros("s")), "e": F.expr(ntz_micros("e"))}).withColumn("bucket", F.expr(f"floor(s / {wide})"))
+    base = base.withColumn("bucket", F.explode(F.expr(f"array(floor(bs / {wide}), floor(bs / {wide}) + 1)")))
+    return base.join(combos, ["user_id", "bucket"]).where(f"s >{op} bs and e <{op} be")
+
+
 def interval_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Click sequences of a week that lie within a span between a signup and a purchase: containment as key equality and a residual."""
+    """Click sequences of a week that lie within a span between a signup and a purchase."""
     combos = sequences(spark, sf_dir).select("user_id", "wk", F.expr("a[0].ts").alias("s"), F.expr("get(a, size(a) - 1).ts").alias("e"))
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    base = ev.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("a_id"), F.col("ts").alias("bs")).join(ev.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("c_id"), F.col("ts").alias("be")), "user_id")
-    return base.where("be > bs and be <= bs + interval 9 days").join(combos, "user_id").where("s >= bs and e <= be").select("user_id", "a_id", "c_id", "wk")
+    return contained(spans(spark.read.parquet(f"{sf_dir}/events.parquet"), "signup", "purchase", 9), combos, 9).select("user_id", "a_id", "c_id", "wk")
 
 
 _EV_WK = f"(SELECT *, {WEEK_SQL} AS wk FROM events)"
@@ -140,7 +159,7 @@ for _key, (_fn, _i, _sql) in _FUNCTIONS.items():
     if _sql:
         ORACLES[_key] = _fsql(_sql, _fn)
 QUERIES["f_subset_sum"], ORACLES["f_subset_sum"] = partial(function_query, "subset_sum", None), _SUBSET_SQL
-QUERIES["f_at_ts"], ORACLES["f_at_ts"] = at_ts_query, _fsql("v[len(v)]")
+QUERIES["f_at_ts"], ORACLES["f_at_ts"] = at_ts_query, _fsql("CASE WHEN len(v) % 2 = 0 THEN v[len(v) // 2 + 1] END")
 for _key, _fn in {"g_inc": "increasing_dp", "g_nondec": "non_decreasing_dp", "g_noninc": "non_increasing_dp", "g_dec": "decreasing_dp"}.items():
     QUERIES[_key], ORACLES[_key] = partial(generator_query, GENERATORS[_fn]), _generator_sql(GENERATORS[_fn])
 QUERIES["x_powerset"], ORACLES["x_powerset"] = powerset_query, _generator_sql(None, 1)

@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clock import micros
 from ..functions.kleene import lookup
-from ..plans.expr import Constraint, Node, render
+from ..plans.expr import TIMES, Constraint, Node, render
 from ..plans.spec import Pattern, Var
 
 #: Columns of the input.
@@ -27,13 +28,24 @@ def _call(n: Node, array: str) -> str:
     return fn.build(array, n.args[1])
 
 
+def at_time(which: str, array: str) -> str:
+    """Time in seconds of a sequence's first (``time``, ``first_time``) or last element."""
+    return f"cast(get({array}, {f'size({array}) - 1' if which == 'last_time' else 0}).us / 1e6 as double)"
+
+
 def row_leaf(p: Pattern, arrays: dict[str, str] | None = None):
     """Renders references to variables that are bound in a row."""
+    unions = dict(p.unions)
+
     def leaf(n: Node) -> str:
         name = n.args[0] if n.kind == "call" else n.name
+        if name in unions:
+            parts = ", ".join(f"`{m}`" if p.var(m).kleene else f"array(`{m}`)" for m in unions[name])
+            arr = f"array_sort(concat({parts}))"
+            return at_time(n.name, arr) if n.name in TIMES else _call(n, arr)
         v = p.var(name)
-        if n.kind == "call" and n.name == "time":
-            return f"cast({'get(`%s`, 0)' % name if v.kleene else '`%s`' % name}.us / 1e6 as double)"
+        if n.kind == "call" and n.name in TIMES:
+            return at_time(n.name, f"`{name}`") if v.kleene else f"cast(`{name}`.us / 1e6 as double)"
         if n.kind == "call":
             arr = (arrays or {}).get(name) or (f"`{name}`" if v.kleene else f"array(`{name}`)")
             return _call(n, arr)
@@ -45,7 +57,7 @@ def row_leaf(p: Pattern, arrays: dict[str, str] | None = None):
 
 
 def cost_of(p: Pattern, c: Constraint, size: int = 8) -> float:
-    return sum(lookup(n.name).cost(size) for n in c.nodes() if n.kind == "call" and n.name != "time")
+    return sum(lookup(n.name).cost(size) for n in c.nodes() if n.kind == "call" and n.name not in TIMES)
 
 
 def derived_filters(p: Pattern, v: Var) -> list[str]:
@@ -58,12 +70,25 @@ def derived_filters(p: Pattern, v: Var) -> list[str]:
             if a.kind == "num" and b.kind == "call":
                 a, b, op = b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
             if a.kind == "call" and b.kind == "num" and a.args[0] == v.name:
-                d = lookup(a.name).derives if a.name != "time" else None
+                d = lookup(a.name).derives if a.name not in TIMES else None
                 if d == "lower" and op in (">", ">=") or d == "upper" and op in ("<", "<="):
                     out.append(f"e.value {op} CAST({b.value!r} AS DOUBLE)")
     return out
 
 
+def span_bound(p: Pattern, v: Var) -> int | None:
+    """Microseconds that last_time - first_time of a sequence may span at most, where a constraint says so: it prunes while folding."""
+    out = None
+    for c in p.where:
+        for a, op, b in c.parts:
+            if b.kind == "bin" and a.kind == "num":
+                a, b, op = b, a, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
+            if b.kind == "num" and op in ("<", "<=", "=") and c.scope == "match" and a == Node("bin", "-", (Node("call", "last_time", (v.name, None)), Node("call", "first_time", (v.name, None)))):
+                most = int(round(b.value * 1e6))
+                out = most if out is None else min(out, most)
+    return out
+
+
 def _is_scan_filter(p: Pattern, c: Constraint) -> bool:
     """A test of single elements against numbers: it can go to the scan of its variable's candidates."""
     return len(c.variables) == 1 and not any(n.kind in ("call", "prev") for n in c.nodes()) and (bool(c.elements) or not p.var(next(iter(c.variables))).kleene)
@@ -77,7 +102,7 @@ class _Plan:
         self.left = [c for c in p.where if not _is_scan_filter(p, c)]
         self.any = all(v.strategy == "stam" for v in p.vars)
         self.strict = any(v.strategy == "strict" for v in p.vars)
-        self.run_vars = {x for c in p.where if c.scope == "run" for x in c.variables}
+        self.run_vars = {x for c in p.where if c.scope == "run" for x in p.needs(c)}
 
     def type_of(self, v: Var) -> str:
         if not v.types:
@@ -89,7 +114,7 @@ class _Plan:
         """One row per group with an array of candidates for each variable."""
         p = self.p
         key = [F.col(p.key).alias("__key")] if p.key else [F.lit(0).alias("__key")]
-        df = events.select(*key, "event_id", "ts", "event_type", F.col("value").cast("double").alias("value"), F.expr("unix_micros(cast(ts as timestamp))").alias("us"))
+        df = events.select(*key, "event_id", "ts", "event_type", F.col("value").cast("double").alias("value"), micros(events).alias("us"))
         if not self.strict and all(v.types and not v.negated for v in p.vars):
             df = df.where(F.col("event_type").isin(sorted({t for v in p.vars for t in v.types})))
         df = df.where("us is not null and event_id is not null")
@@ -154,7 +179,7 @@ class _Plan:
         tests += derived_filters(p, v) if v.kleene else []
         leaf = row_leaf(p)
         for c in list(self.left):
-            if c.scope == "match" and v.name in c.elements and not c.is_step and c.variables - {v.name} <= set(bound):
+            if c.scope == "match" and v.name in c.elements and not c.is_step and p.needs(c) - {v.name} <= set(bound):
                 tests.append(render(c, lambda n: "e.value" if n.kind == "elem" else leaf(n)))
                 self.left.remove(c)
         arr = f"filter(`c_{v.name}`, e -> {' AND '.join(tests)})" if tests else f"`c_{v.name}`"
@@ -164,7 +189,7 @@ class _Plan:
         if v.name in self.run_vars:
             df = df.withColumn(f"run_{v.name}", F.expr(arr))
             arr = f"`run_{v.name}`"
-        steps = [c for c in self.left if c.is_step and v.name in c.elements and c.variables - {v.name} <= set(bound)]
+        steps = [c for c in self.left if c.is_step and v.name in c.elements and p.needs(c) - {v.name} <= set(bound)]
         for c in steps:
             self.left.remove(c)
         return df.withColumn(v.name, F.expr(f"explode({self.sequences(v, arr, steps, at)})")).drop("__lim")
@@ -203,16 +228,27 @@ class _Plan:
                 stop = f"get(filter(`c_{nxt.name}`, n -> (n.us, n.event_id) > (get(f, {max(v.least, 1) - 1}).us, get(f, {max(v.least, 1) - 1}).event_id)), 0)"
                 cut = f"transform(array({stop}), z -> filter(f, e -> z is null or (e.us, e.event_id) < (z.us, z.event_id)))[0]"
             return steady(sized(f"transform(array({arr}), f -> array(slice({cut}, 1, {most})))[0]"))
+        if not p.expand_unconstrained and v.strategy == "stam" and not any(v.name in p.needs(c) for c in p.where):
+            return sized(f"array({arr})")
         start = "(__lim.low is null or e.pos = __lim.low.pos + 1)" if v.strategy == "strict" else "true"
-        grow = f"transform(filter(acc, s -> size(s) < {most} and if(size(s) = 0, {start}, {step('get(s, size(s) - 1)', 'e')})), s -> concat(s, array(e)))"
-        fold = f"aggregate(f, array(slice(f, 1, 0)), (acc, e) -> concat(acc, {grow}))"
+        # a sequence within the window and, where it opens the match, begun in the group's own bucket: nothing is expanded to be thrown away
+        span = span_bound(p, v)
+        if self.w is not None:
+            span = self.w if span is None else min(span, self.w)
+            if at == 0:
+                start += f" and (e.us div {max(self.w, 1)} - if(e.us % {max(self.w, 1)} < 0, 1, 0)) = __b"
+        near = f" and (size(s) = 0 or e.us <= get(s, 0).us + {span})" if span is not None else ""
+        grow = f"transform(filter(acc, s -> size(s) < {most}{near} and if(size(s) = 0, {start}, {step('get(s, size(s) - 1)', 'e')})), s -> concat(s, array(e)))"
+        # a sequence that can't reach its least size any more goes at once
+        alive = f"filter(acc, s -> size(s) + size(f) - i + 1 >= {v.least})" if v.least > 1 else "acc"
+        fold = f"if(size(f) = 0, array(slice(f, 1, 0)), aggregate(sequence(1, size(f)), array(slice(f, 1, 0)), (old, i) -> transform(array({alive.replace('acc', 'old', 1)}), acc -> transform(array(get(f, i - 1)), e -> concat(acc, {grow}))[0])[0]))"
         if v.strategy == "stam" and not steps:
             guard = f"raise_error(concat('{v.name}: ', size(f), ' candidates; max_candidates is {p.max_candidates}'))"
             fold = f"if(size(f) > {p.max_candidates}, {guard}, {fold})"
         return sized(f"transform(array({arr}), f -> {fold})[0]")
 
     def apply(self, df: DataFrame, bound: list[str]) -> DataFrame:
-        ready = [c for c in self.left if c.variables <= set(bound) and not c.elements]
+        ready = [c for c in self.left if self.p.needs(c) <= set(bound) and not c.elements]
         for c in sorted(ready, key=lambda c: cost_of(self.p, c)):
             arrays = {x: f"`run_{x}`" for x in c.variables if self.p.var(x).kleene} if c.scope == "run" else None
             df = df.where(F.expr(f"coalesce({render(c, row_leaf(self.p, arrays))}, false)"))
@@ -266,7 +302,7 @@ def count_matches(events: DataFrame, p: Pattern) -> DataFrame:
     skip-till-any: n candidates make 2^n subsets less those too small."""
     kleene = [v for v in p.vars if v.kleene]
     plan = _Plan(p)
-    if len(kleene) != 1 or not plan.any or kleene[0].most is not None or any(kleene[0].name in c.variables for c in plan.left) or len(p.vars) < 2:
+    if len(kleene) != 1 or not plan.any or kleene[0].most is not None or any(kleene[0].name in p.needs(c) for c in plan.left) or len(p.vars) < 2:
         raise ValueError("counting needs one Kleene variable without constraints beyond single elements, and a single variable")
     k = kleene[0]
     df, bound = plan.candidates(events), []
@@ -310,14 +346,15 @@ def timeouts(events: DataFrame, p: Pattern) -> DataFrame:
     v = p.vars[0]
     if v.kleene or p.within is None:
         raise ValueError("timeouts need a single first variable and a window")
-    plan = _Plan(p)
-    starts = _starts(plan, events, v)
+    opened = starts(events, p)
     done = match(events, p).select(F.col(f"{v.name.lower()}_id").alias("__id")).distinct()
-    out = starts.join(done, starts["event_id"] == done["__id"], "left_anti")
-    return out.select(*([F.col("__key").alias(p.key)] if p.key else []), F.col("event_id").alias(f"{v.name.lower()}_id"), (F.col("us") + plan.w).alias("timeout_us"))
+    out = opened.join(done, opened["event_id"] == done["__id"], "left_anti")
+    return out.select(*([F.col("__key").alias(p.key)] if p.key else []), F.col("event_id").alias(f"{v.name.lower()}_id"), (F.col("us") + int(round(p.within * 1e6))).alias("timeout_us"))
 
 
-def _starts(plan: _Plan, events: DataFrame, v: Var) -> DataFrame:
-    key = F.col(plan.p.key) if plan.p.key else F.lit(0)
+def starts(events: DataFrame, p: Pattern) -> DataFrame:
+    """Events that the first variable (a single one) takes, by its own tests: ``(__key, event_id, us)``."""
+    plan, v = _Plan(p), p.vars[0]
+    key = F.col(p.key) if p.key else F.lit(0)
     tests = [plan.type_of(v)] + [render(c, lambda n: "value") for c in plan.scan[v.name]]
-    return events.where(" AND ".join(tests)).select(key.alias("__key"), "event_id", F.expr("unix_micros(cast(ts as timestamp))").alias("us"))
+    return events.where(" AND ".join(tests)).select(key.alias("__key"), "event_id", micros(events).alias("us"))

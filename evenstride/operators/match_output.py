@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.clock import micros
 from ..plans.oracle import oracle
-from ..plans.spec import pattern
-from .expand import WEEK_SQL, seq_sql, sequences
-from .match import match
+from ..plans.spec import Pattern, pattern
+from .expand import WEEK_SQL, contained, seq_sql, sequences, spans
+from .match import match, starts
 
 DAY = 86400.0
 HADOOP = pattern("A B{2,} C", {"A": "signup", "B": "click", "C": "purchase"}, ("B[i] - B[i-1] >= 0",), 3 * DAY, "user_id")
@@ -83,9 +84,8 @@ def x_shared_once(spark, sf_dir):
     """Combinations solved once per key, then joined to every anchor pair whose interval holds them."""
     s = sequences(spark, sf_dir).withColumn("p", F.explode(F.expr("flatten(transform(sequence(1, size(a)), i -> transform(sequence(1, size(a) - i + 1), k -> slice(a, i, k))))")))
     combos = s.where("size(p) >= 2 and aggregate(p, 0D, (t, x) -> t + x.value) / size(p) >= 50").select("user_id", F.expr("p[0].ts").alias("s"), F.expr("get(p, size(p) - 1).ts").alias("e"), F.expr("array_join(transform(p, x -> cast(x.event_id as string)), ',')").alias("ids"))
-    ev = _ev(spark, sf_dir)
-    base = ev.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("a_id"), F.col("ts").alias("bs")).join(ev.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("c_id"), F.col("ts").alias("be")), "user_id").where("be > bs and be <= bs + interval 4 days")
-    return base.join(combos, "user_id").where("s > bs and e < be").select("user_id", "a_id", "c_id", "ids")
+    base = spans(_ev(spark, sf_dir), "signup", "purchase", 4)
+    return contained(base, combos, 4, strict=True).select("user_id", "a_id", "c_id", "ids")
 
 
 def distinct_matches(spark, sf_dir):
@@ -119,11 +119,18 @@ def m_skip_past_last(spark, sf_dir):
     return skip_past_last(match(_ev(spark, sf_dir), FIRST), "user_id").select("user_id", "a_id", "b_id")
 
 
+def trace(events: DataFrame, p: Pattern) -> DataFrame:
+    """At each event, the number of partial matches its key holds open: events of the first variable (with its own tests) whose window
+    the event still lies in, itself included. The first variable must be single; what has expired isn't counted."""
+    at = events.select(F.col(p.key).alias("__key"), "event_id", micros(events).alias("us"))
+    opened = starts(events, p).select("__key", F.col("event_id").alias("__start"))
+    at = at.join(opened, (at["event_id"] == opened["__start"]) & at["__key"].eqNullSafe(opened["__key"]), "left").select(at["__key"], "event_id", "us", "__start")
+    w = Window.partitionBy("__key").orderBy("us").rangeBetween(-int(round(p.within * 1e6)), 0)
+    return at.select(F.col("__key").alias(p.key), "event_id", F.count("__start").over(w).alias("nums"))
+
+
 def trace_partials(spark, sf_dir):
-    """At each event, the user's partial matches (signups of the last day that wait for more)."""
-    us = F.expr("unix_micros(cast(ts as timestamp))")
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-int(DAY * 1e6), 0)
-    return _ev(spark, sf_dir).withColumn("us", us).select("event_id", F.count(F.when(F.col("event_type") == "signup", 1)).over(w).alias("nums"))
+    return trace(_ev(spark, sf_dir), HADOOP).select("event_id", "nums")
 
 
 _H = oracle(HADOOP)
@@ -141,6 +148,10 @@ ORACLES: dict[str, str] = {
     "m_rollup": f"SELECT user_id, len, count(*) AS n FROM (SELECT user_id, len(string_split(b_ids, ',')) AS len FROM ({_H})) GROUP BY ROLLUP (user_id, len)",
     "m_rank": f"SELECT user_id, a_id, b_ids, c_id, rank() OVER (PARTITION BY user_id ORDER BY span) AS place FROM ({_HS})",
     "m_topk": f"SELECT user_id, a_id, b_ids, c_id, span FROM ({_HS}) ORDER BY span, user_id, a_id, b_ids LIMIT 10",
-    "trace_partials": "SELECT event_id, (SELECT count(*) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'signup' AND p.ts <= e.ts AND p.ts >= e.ts - INTERVAL 1 DAY) AS nums FROM events e",
+    "trace_partials": "SELECT event_id, (SELECT count(*) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'signup' AND p.ts <= e.ts AND p.ts >= e.ts - INTERVAL 3 DAY) AS nums FROM events e",
+    "m_skip_past_last": f"""WITH RECURSIVE m AS (SELECT f.*, epoch_us(a.ts) AS first, epoch_us(b.ts) AS last FROM ({oracle(FIRST)}) f JOIN events a ON a.event_id = f.a_id JOIN events b ON b.event_id = f.b_id),
+k AS (SELECT * FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY first, last, a_id, b_id) = 1)
+UNION ALL SELECT * FROM (SELECT m.* FROM k JOIN m ON m.user_id = k.user_id AND m.first > k.last QUALIFY row_number() OVER (PARTITION BY m.user_id ORDER BY m.first, m.last, m.a_id, m.b_id) = 1))
+SELECT user_id, a_id, b_id FROM k""",
 }
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: globals()[k] for k in [*ORACLES, "approx_matches", "m_skip_past_last"]}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: globals()[k] for k in [*ORACLES, "approx_matches"]}

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.clock import micros
+
 
 def union_sorted(a: DataFrame, b: DataFrame, *order: str) -> DataFrame:
     return a.unionByName(b).orderBy(*order)
@@ -44,7 +46,7 @@ def find_increases(df: DataFrame, key: str, factor: float, days: float) -> DataF
     An equi-join on key and day-wide bucket (each left row looks into the buckets its window reaches), with the rest as residual.
     """
     span = int(days * 86_400_000_000)
-    us = F.expr("unix_micros(cast(ts as timestamp))")
+    us = micros(df)
     a = df.select(key, F.col("event_id").alias("a_id"), F.col("value").alias("av"), us.alias("au"))
     a = a.withColumn("bucket", F.explode(F.expr(f"array(au div {span}, au div {span} + 1)")))
     b = df.select(key, F.col("event_id").alias("b_id"), F.col("value").alias("bv"), us.alias("bu")).withColumn("bucket", F.expr(f"bu div {span}"))

@@ -33,6 +33,19 @@ SELECT * FROM events MATCH_RECOGNIZE (
 )
 """
 
+WEATHER_TEXT = """
+SELECT * FROM events MATCH_RECOGNIZE (
+  PARTITION BY user_id ORDER BY ts
+  PATTERN (A* D2+ B* Z) WITHIN INTERVAL '30' DAY
+  SUBSET U = (A, D, B)
+  DEFINE A AS type = 'signup' AND A[i].value >= 100,
+  D AS type = 'click' AND D[i].value >= 30 AND tstamp - first(D.tstamp) <= INTERVAL '5' DAY,
+  B AS type = 'error' AND B[i].value >= 100,
+  Z AS type = 'purchase' AND Z.value >= 60 AND last(U.tstamp) - first(U.tstamp) BETWEEN INTERVAL '15' DAY AND INTERVAL '30' DAY
+  AND mannkendalltest(U.value) >= 3.0 AND linearregressionr2(D.tstamp, D.value) >= 0.95 AND last(D.value) - first(D.value) < -20
+)
+"""
+
 #: Pattern queries over ``events``.
 PATTERNS: dict[str, Pattern] = {
     # pattern operators
@@ -78,16 +91,20 @@ PATTERNS: dict[str, Pattern] = {
     "c_count": _k("A B+ C", _ABC, ("2 <= count(B) <= 3",), 3 * DAY),
     # named queries
     "q_hadoop": _k("A B{2,} C", _ABC, ("B[i] - B[i-1] >= 0",), 3 * DAY),
-    "q_stock": _k("A{2,} B{2,}", {"A": "click", "B": "view"}, ("A[i] - A[i-1] >= 0", "B[i] - B[i-1] >= 0", "last(A) - 1.1118 * first(A) >= 0", "last(B) / first(B) - last(A) / first(A) >= 0"), 4 * DAY),
-    "q_flash": _k("A{2,} B C", {"A": "view", "B": "error", "C": "purchase"}, ("sum_square_difference(A) <= 0.1", "B - min(A) <= 0", "C - max(A) >= 0", "C - 1.1 * B >= 0"), 3 * DAY),
-    "q_lng": _k("A{2,} B{2,} C", {"A": "view", "B": "error", "C": "purchase"}, ("standard_deviation(A) >= 1.1", "B[i] - B[i-1] <= 0", "20 <= C <= 10000"), 3 * DAY),
-    "q_peak": _k("A B C", dict.fromkeys("ABC", "click"), ("B - A > 0", "B - C > 0"), 3 * DAY, strategy={"A": "stam", "B": "stnm", "C": "stnm"}),
-    "q_trough": _k("A B C", dict.fromkeys("ABC", "click"), ("B - A < 0", "B - C < 0"), 3 * DAY, strategy={"A": "stam", "B": "stnm", "C": "stnm"}),
-    "q_rise_fall": _k("D{2,3} A B C E{2,3}", {"D": "click", "A": "view", "B": "view", "C": "view", "E": "click"}, ("B - A > 0", "B - C > 0", "least_squares(D) >= 0.1", "least_squares(E) <= -0.1"), 6 * DAY),
-    "q_msft": _k("A B{3,} C", {"A": "click", "B": "view", "C": "click"}, ("C - 1.1 * A >= 0",), 5 * DAY),
+    "q_stock": _k("A{5,} B{5,}", {"A": ("click", "signup"), "B": ("view", "error")}, ("0 <= A[i] - last(A) <= 1000", "0 <= B[i] - last(B) <= 1000", "0 <= last(A) - 1.1118 * first(A) <= 1000", "0 <= last(B) / first(B) - last(A) / first(A) <= 1000"), 12 * DAY),
+    "q_flash": _k("A{5,} B C", {"A": "view", "B": "error", "C": "purchase"}, ("0.1 <= sum_square_difference(A) <= 1000", "-1000 <= B - min(A) <= 0", "0 <= C - max(A) <= 1000", "0 <= C - 1.1 * B <= 1000"), 10 * DAY),
+    "q_lng": _k("A{2,} B{2,} C", {"A": "view", "B": "error", "C": "purchase"}, ("1.1 <= standard_deviation(A) <= 1000", "-1000 <= B[i] - last(B) <= 0", "250 <= C <= 10000"), 3 * DAY),
+    "q_peak": _k("A B C", dict.fromkeys("ABC", "click"), ("0 < B - A <= 100", "0 < B - C <= 100", "259200 <= time(C) - time(A) <= 259200"), 3 * DAY, strategy={"A": "stam", "B": "stnm", "C": "stnm"}),
+    "q_trough": _k("A B C", dict.fromkeys("ABC", "click"), ("0 < A - B <= 100", "0 < C - B <= 100", "259200 <= time(C) - time(A) <= 259200"), 3 * DAY, strategy={"A": "stam", "B": "stnm", "C": "stnm"}),
+    "q_rise_fall": _k("D{2,5} A B C E{2,5}", {"D": "click", "A": "view", "B": "view", "C": "view", "E": "click"}, ("0.1 <= least_squares(D) <= 100", "0 < A - max(D) <= 100", "0 < B - A <= 100", "0 < B - C <= 100", "-100 <= least_squares(E) <= -0.1", "0 < C - max(E) <= 100"), 10 * DAY),
+    "q_msft": _k("A B{10,} C", {"A": "click", "B": "view", "C": "click"}, ("C - 1.1 * A >= 0",), 16 * DAY),
     "q_prefix": _k("A{2,} B C{2,} D", {"A": "click", "B": "error", "C": "view", "D": "purchase"}, ("10 <= average(A) <= 60", "10 <= average(C) <= 60", "D - B >= 0"), 5 * DAY),
-    "q_long": _k("A C E D G{2,} F+ B", {"A": "signup", "C": "view", "E": "error", "D": "view", "G": "click", "F": "purchase", "B": "error"}, ("sum(G) - sum(F) >= 0",), 4 * DAY),
-    "q_weather": _k("A* D{2,} Z", {"A": "signup", "D": "click", "Z": "purchase"}, ("D[i] - D[i-1] > 0",), 2 * DAY),
+    "q_long": _k("A C E D G{3,} F+ B", {"A": "signup", "C": "view", "E": "error", "D": "view", "G": "click", "F": "purchase", "B": "error"}, ("sum(G) - sum(F) >= 0",), 6 * DAY),
+    "q_weather": parse_match_recognize(WEATHER_TEXT),
+    # whole runs, unions, times of sequences
+    "x_runs_only": _k("A B+ C", _ABC, ("C - A >= 0",), 3 * DAY, expand_unconstrained=False),
+    "c_union": _k("A B+ C", _ABC, ("average(U) >= 60", "max(U) <= 300", "last(U.tstamp) - first(U.tstamp) >= INTERVAL '1' DAY"), 2 * DAY, unions=(("U", ("A", "B")),)),
+    "c_time_last": _k("A B{2,} C", _ABC, ("first_time(B) - time(A) <= INTERVAL '1' DAY", "time(C) - last_time(B) <= INTERVAL '1' DAY", "last_time(B) - first_time(B) <= INTERVAL '2' DAY"), 4 * DAY),
 }
 for _fn, _test in {"increasing": "increasing(A) > 0", "decreasing": "decreasing(A) > 0", "average": "average(A) >= 60", "max": "max(A) <= 40", "sum": "sum(A) >= 250", "standard_deviation": "standard_deviation(A) <= 40", "least_squares": "least_squares(A) >= 10"}.items():
     PATTERNS[f"q_udf_sweep_{_fn}"] = _k("A{4,}", {"A": "click"}, (_test,), 6 * DAY)
@@ -103,8 +120,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def _match(p: Pattern, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match(events(spark, sf_dir), p).drop("first_us", "last_us")
+#: Queries whose constants need other values or whole days: (factor of the value, days instead of times), as the surveyed prices have them.
+BINDING: dict[str, tuple[float, bool]] = {"q_flash": (0.01, False), "q_lng": (5.0, False), "q_peak": (1.0, True), "q_trough": (1.0, True)}
+
+
+def _match(p: Pattern, factor: float, daily: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    if factor != 1:
+        e = e.withColumn("value", F.col("value") * factor)
+    if daily:
+        e = e.withColumn("ts", F.col("ts").cast("date").cast("timestamp_ntz"))
+    return match(e, p).drop("first_us", "last_us")
 
 
 def _count(p: Pattern, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +147,9 @@ SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'purchase'
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for _name, _p in PATTERNS.items():
-    QUERIES[_name] = partial(_match, _p)
-    ORACLES[_name] = oracle(_p)
+    _factor, _daily = BINDING.get(_name, (1.0, False))
+    QUERIES[_name] = partial(_match, _p, _factor, _daily)
+    ORACLES[_name] = oracle(_p, cols={"value": f"value * {_factor}", "ts": "CAST(date_trunc('day', ts) AS TIMESTAMP)" if _daily else "ts"} if _name in BINDING else None)
 for _name, _p in COUNTED.items():
     QUERIES[_name] = partial(_count, _p)
     ORACLES[_name] = f"SELECT user_id, count(*) AS matches FROM ({oracle(_p)}) GROUP BY user_id"

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .expr import Constraint, Node, render
+from ..functions.kleene import ALIASES
+from .expr import TIMES, Constraint, Node, render
 from .spec import Pattern, Var
 
 
@@ -29,8 +30,10 @@ def list_function(name: str, v: str, t: str, k: int | None = None) -> str:
         "sum_square_difference": f"CASE WHEN {n} <= 1 THEN -1 ELSE 2.0 * {n} / ({n} - 1) * list_var_pop({v}) - 4 * list_var_pop({v}) * list_var_pop({v}) END",
         "merge_sort": f"list_sort({v})[{(k or 0) + 1}]",
         "bubble_sort": f"coalesce(list_sort({v})[{(k or 0) + 1}], -1)",
+        "mann_kendall_test": f"(SELECT coalesce(sum(sign(b.y - a.y)), 0) FROM (SELECT unnest({v}) AS y, unnest(range(len({v}))) AS i) a JOIN (SELECT unnest({v}) AS y, unnest(range(len({v}))) AS i) b ON a.i < b.i)",
+        "linear_regression_r2": f"coalesce((SELECT CASE WHEN count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN power(corr(y, x), 2) ELSE 0 END FROM (SELECT unnest({v}) AS y, unnest(list_transform({t}, lambda z: datediff('day', DATE '2000-01-01', CAST(z AS DATE)))) AS x)), 0)",
         "triplet_sum": f"power(coalesce(list_sum({v}), 0), 3)",
-    }[{"msd_exceeds_variance_threshold": "sum_square_difference", "avg": "average"}.get(name, name)]
+    }[ALIASES.get(name, name)]
 
 
 def oracle(p: Pattern, source: str = "events", cols: dict[str, str] | None = None) -> str:
@@ -39,14 +42,20 @@ def oracle(p: Pattern, source: str = "events", cols: dict[str, str] | None = Non
     key = p.key or "0"
     ctes = [f"ev AS (SELECT {c['id']} AS id, {c['ts']} AS ts, {key} AS k, {c['type']} AS typ, CAST({c['value']} AS DOUBLE) AS v, row_number() OVER (PARTITION BY {key} ORDER BY {c['ts']}, {c['id']}) AS rn FROM {source})"]
     ctes.append("s0 AS (SELECT DISTINCT k, CAST(NULL AS TIMESTAMP) AS w0_f_ts, CAST(NULL AS TIMESTAMP) AS w0_l_ts, CAST(NULL AS BIGINT) AS w0_l_id, CAST(NULL AS BIGINT) AS w0_l_rn FROM ev)")
-    left, prev, bound = [x for x in p.where], "s0", []
+    left, prev, bound, unions = [x for x in p.where], "s0", [], dict(p.unions)
 
     def leaf(alias: str):
         def go(n: Node) -> str:
             name = n.args[0] if n.kind == "call" else n.name
+            if name in unions:
+                part = lambda m: f"list_transform(range(1, len({alias}.{m}_ids) + 1), lambda j: {{'t': {alias}.{m}_ts[j], 'i': {alias}.{m}_ids[j], 'v': {alias}.{m}_vs[j]}})" if p.var(m).kleene else f"[{{'t': {alias}.{m}_t, 'i': {alias}.{m}_id, 'v': {alias}.{m}_v}}]"
+                every = f"list_sort(flatten([{', '.join(part(m) for m in unions[name])}]))"
+                ts, vs = f"list_transform({every}, lambda z: z.t)", f"list_transform({every}, lambda z: z.v)"
+                return f"(epoch_us(({ts})[{f'len({ts})' if n.name == 'last_time' else 1}]) / 1e6)" if n.name in TIMES else list_function(n.name, f"({vs})", f"({ts})", n.args[1])
             v = p.var(name)
-            if n.kind == "call" and n.name == "time":
-                return f"(epoch_us({alias}.{name}_t{'s[1]' if v.kleene else ''}) / 1e6)"
+            if n.kind == "call" and n.name in TIMES:
+                at = (f"s[len({alias}.{name}_ts)]" if n.name == "last_time" else "s[1]") if v.kleene else ""
+                return f"(epoch_us({alias}.{name}_t{at}) / 1e6)"
             if n.kind == "call":
                 return list_function(n.name, f"{alias}.{name}_vs" if v.kleene else f"[{alias}.{name}_v]", f"{alias}.{name}_ts" if v.kleene else f"[{alias}.{name}_t]", n.args[1])
             return f"{alias}.{name}_v" if not v.kleene else f"{alias}.{name}_vs[len({alias}.{name}_vs)]"
@@ -62,7 +71,7 @@ def oracle(p: Pattern, source: str = "events", cols: dict[str, str] | None = Non
         """Tests on the current element e; step tests apart."""
         tests, steps = [], []
         for x in list(left):
-            if v.kleene and v.name in x.elements and x.variables - {v.name} <= set(bound):
+            if v.kleene and v.name in x.elements and p.needs(x) - {v.name} <= set(bound):
                 left.remove(x)
                 if x.is_step:
                     steps.append(x)
@@ -104,7 +113,7 @@ def oracle(p: Pattern, source: str = "events", cols: dict[str, str] | None = Non
             size = [f"len({n}_ids) >= {v.least}"]
             ctes.append(f"s{i} AS (SELECT * FROM k{i} WHERE {' AND '.join(size)})")
         bound.append(n)
-        ready = [x for x in left if x.variables <= set(bound) and not x.elements]
+        ready = [x for x in left if p.needs(x) <= set(bound) and not x.elements]
         for x in ready:
             left.remove(x)
         if ready:
@@ -120,4 +129,10 @@ def oracle(p: Pattern, source: str = "events", cols: dict[str, str] | None = Non
         cols_out.append(f"array_to_string(list_sort(flatten([{lists}])), ',') AS {name.lower()}_ids")
     if left:
         raise ValueError(f"cannot place {left[0].text!r}")
-    return f"WITH RECURSIVE {', '.join(ctes)} SELECT {', '.join(cols_out)} FROM {prev} WHERE w0_f_ts IS NOT NULL"
+    whole = ""
+    if not p.expand_unconstrained:
+        free = [v for v in p.vars if v.kleene and v.strategy == "stam" and not any(v.name in p.needs(c) for c in p.where)]
+        others = lambda f: ", ".join(["k"] + [f"{v.name}_ids" if v.kleene else f"{v.name}_id" for v in p.vars if v is not f])
+        if free:
+            whole = " QUALIFY " + " AND ".join(f"len({f.name}_ids) = max(len({f.name}_ids)) OVER (PARTITION BY {others(f)})" for f in free)
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT {', '.join(cols_out)} FROM {prev} WHERE w0_f_ts IS NOT NULL{whole}"

@@ -28,7 +28,11 @@ class Var:
 
 @dataclass(frozen=True)
 class Pattern:
-    """Variables in order, constraints, window in seconds (last - first <= within) and the column that partitions the stream, if any."""
+    """Variables in order, constraints, window in seconds (last - first <= within) and the column that partitions the stream, if any.
+
+    ``unions``: names for the events of several variables, in arrival order, which constraints may apply functions to.
+    ``expand_unconstrained`` False: a skip-till-any Kleene variable that no constraint names stays its whole run instead of every subset.
+    """
 
     vars: tuple[Var, ...]
     where: tuple[Constraint, ...] = ()
@@ -37,6 +41,7 @@ class Pattern:
     max_gap: float | None = None
     max_candidates: int = 20
     unions: tuple[tuple[str, tuple[str, ...]], ...] = field(default=())
+    expand_unconstrained: bool = True
 
     def __post_init__(self) -> None:
         names = [v.name for v in self.vars]
@@ -47,9 +52,19 @@ class Pattern:
                 raise ValueError(f"{v.name}: unknown strategy {v.strategy!r}; known: {STRATEGIES}")
             if v.least < 0 or v.most is not None and v.most < max(v.least, 1):
                 raise ValueError(f"{v.name}: impossible quantifier {{{v.least},{v.most}}}")
+        for u, members in self.unions:
+            if set(members) - set(names) or u in names:
+                raise ValueError(f"SUBSET {u} = {members} must name variables of the pattern and have a name of its own")
         for c in self.where:
-            if unknown := c.variables - set(names):
+            if unknown := self.needs(c) - set(names):
                 raise ValueError(f"{c.text!r} names unknown variables {sorted(unknown)}")
+            if any(n.kind in ("var", "elem", "prev") and n.name in dict(self.unions) for n in c.nodes()):
+                raise ValueError(f"{c.text!r}: of a SUBSET only functions can be tested")
+
+    def needs(self, c: Constraint) -> set[str]:
+        """Variables that must be bound before a constraint can be tested: those it names, and the members of unions it names."""
+        members = dict(self.unions)
+        return {m for x in c.variables for m in members.get(x, (x,))}
 
     def var(self, name: str) -> Var:
         return next(v for v in self.vars if v.name == name)

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.clock import at_second
+
+#: When synthetic streams start.
+START = "2024-01-01 00:00:00"
 
 def uniform(seed: int, *of: str) -> Column:
     """A number in (0, 1) that depends on the row's columns and the seed only."""
@@ -28,8 +32,8 @@ def distribution_events(spark: SparkSession, variables: dict[str, tuple[str, flo
         s = seed + 100 * i
         value = {"uniform": a + (b - a) * uniform(s, "id"), "normal": a + b * normal(s, "id"), "exponential": b + a * exponential(s, "id")}[kind]
         gap = low + (high - low) * 0.5
-        ts = F.timestamp_seconds(1704067200 + F.col("id") * gap + (uniform(s + 7, "id") - 0.5) * (high - low))
-        one = spark.range(n).select((F.col("id") * len(variables) + i).alias("event_id"), ts.cast("timestamp_ntz").alias("ts"), F.lit(name).alias("event_type"), value.alias("value"))
+        ts = at_second(F.col("id") * gap + (uniform(s + 7, "id") - 0.5) * (high - low), START)
+        one = spark.range(n).select((F.col("id") * len(variables) + i).alias("event_id"), ts.alias("ts"), F.lit(name).alias("event_type"), value.alias("value"))
         parts = one if parts is None else parts.unionByName(one)
     return parts
 
@@ -39,7 +43,7 @@ def mixture_events(spark: SparkSession, names: list[str], normal_range: tuple[fl
     hit = uniform(seed, "id") < probability
     vals = [F.struct(F.lit(i).alias("at"), F.lit(t).alias("event_type"), F.when(hit, F.lit(float(matched[i]))).otherwise(normal_range[0] + (normal_range[1] - normal_range[0]) * uniform(seed + 1 + i, "id")).alias("value")) for i, t in enumerate(names)]
     k = len(names)
-    return spark.range(n).select("id", F.explode(F.array(*vals)).alias("e")).select((F.col("id") * k + F.col("e.at")).alias("event_id"), F.timestamp_seconds(1704067200 + F.col("id") * k + F.col("e.at")).cast("timestamp_ntz").alias("ts"), "e.event_type", "e.value")
+    return spark.range(n).select("id", F.explode(F.array(*vals)).alias("e")).select((F.col("id") * k + F.col("e.at")).alias("event_id"), at_second(F.col("id") * k + F.col("e.at"), START).alias("ts"), "e.event_type", "e.value")
 
 
 def weighted_events(spark: SparkSession, weights: dict[str, float], ranges: dict[str, tuple[float, float]], n: int, seed: int = 1, step: int = 1) -> DataFrame:
@@ -54,29 +58,41 @@ def weighted_events(spark: SparkSession, weights: dict[str, float], ranges: dict
         kind = F.when(u < cum, t) if kind is None else kind.when(u < cum, t)
         value = F.when(u < cum, v) if value is None else value.when(u < cum, v)
     last = list(weights)[-1]
-    return spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_seconds(1704067200 + F.col("id") * step).cast("timestamp_ntz").alias("ts"), kind.otherwise(last).alias("event_type"), value.otherwise(ranges[last][0]).alias("value"))
+    return spark.range(n).select(F.col("id").alias("event_id"), at_second(F.col("id") * step, START).alias("ts"), kind.otherwise(last).alias("event_type"), value.otherwise(ranges[last][0]).alias("value"))
+
+
+# Log types in the order of their numeric codes, and the largest value of each (the smallest is 1).
+HADOOP_TYPES = {"reducer_start": 1000, "load_std": 100, "reducer_end": 1000, "map_start": 1000, "map_end": 1000, "shuffle_start": 100, "shuffle_end": 100}
+# Type weights and value ranges of the two other presets of ``weighted_events``.
+LNG = {"weights": {"a": 0.2, "b": 0.2, "c": 0.6}, "ranges": {"a": (1, 100), "b": (1, 100), "c": (200, 300)}}
+FLASH = {"weights": {"a": 0.3, "b": 0.4, "c": 0.3}, "ranges": {"a": (90, 110), "b": (50, 100), "c": (100, 150)}}
 
 
 def hadoop_events(spark: SparkSession, n: int, series: int = 8, seed: int = 1) -> DataFrame:
-    """Cluster log events of seven types with gaps of 1-5 s, in ``series`` independent series (one running sum each)."""
-    types = {"reducer_start": (1, 5), "reducer_end": (1, 5), "load_std": (20, 90), "cpu": (0, 100), "memory": (10, 95), "disk": (5, 80), "network": (1, 1000)}
-    names = F.array(*[F.lit(t) for t in types])
-    lows, highs = F.array(*[F.lit(float(a)) for a, _ in types.values()]), F.array(*[F.lit(float(b)) for _, b in types.values()])
-    at = F.floor(uniform(seed, "id") * len(types)).cast("int")
-    df = spark.range(n).withColumn("series", F.col("id") % series).withColumn("at", at).withColumn("gap", 1 + F.floor(uniform(seed + 1, "id") * 5))
-    t = F.sum("gap").over(Window.partitionBy("series").orderBy("id"))
-    return df.select(F.col("id").alias("event_id"), F.timestamp_seconds(1704067200 + t).cast("timestamp_ntz").alias("ts"), F.get(names, F.col("at")).alias("event_type"), (F.get(lows, F.col("at")) + (F.get(highs, F.col("at")) - F.get(lows, F.col("at"))) * uniform(seed + 2, "id")).alias("value"), "series")
+    """Cluster log events of seven types with whole values and gaps of 1-5 s, in ``series`` independent series (one running sum each).
+
+    ``code``: the type's number; ``seconds``: since the series began (with them, the rows are those of a headerless stream file).
+    """
+    names, most = F.array(*[F.lit(t) for t in HADOOP_TYPES]), F.array(*[F.lit(m) for m in HADOOP_TYPES.values()])
+    at = F.floor(uniform(seed, "id") * len(HADOOP_TYPES)).cast("int")
+    df = spark.range(n).withColumn("series", F.col("id") % series).withColumn("code", at).withColumn("gap", 1 + F.floor(uniform(seed + 1, "id") * 5))
+    df = df.withColumn("seconds", F.sum("gap").over(Window.partitionBy("series").orderBy("id")))
+    value = 1 + F.floor(F.get(most, F.col("code")) * uniform(seed + 2, "id"))
+    return df.select(F.col("id").alias("event_id"), at_second(F.col("seconds"), START).alias("ts"), F.get(names, F.col("code")).alias("event_type"), value.cast("double").alias("value"), "series", "code", "seconds")
 
 
 def causal_events(spark: SparkSession, n: int, series: int = 4, seed: int = 1) -> DataFrame:
-    """x follows an autoregression (0.999) with bursts of +50, y = 2x + noise. Each series is a recurrence, so it is made by one group
-    function; series run in parallel."""
+    """Events of two variables, ``n`` of each, a second apart: A is 10 plus an autoregression (0.999) with bursts of +50 over 4-10 steps
+    that leave the recurrence itself alone, B = 2 A + noise; B arrives just before the A that caused it.
+
+    Each series is a recurrence, so one group function makes it; series run in parallel.
+    """
     def run(key, pdf):
         import numpy as np
         import pandas as pd
 
         r = np.random.RandomState(seed + int(key[0]))
-        x, out, burst = 10.0, [], 0
+        x, out, burst = 0.0, [], 0
         for _ in range(len(pdf)):
             if burst == 0 and r.rand() < 0.01:
                 burst = r.randint(4, 11)
@@ -84,6 +100,10 @@ def causal_events(spark: SparkSession, n: int, series: int = 4, seed: int = 1) -
             out.append(10 + x + (50 if burst > 0 else 0))
             burst = max(0, burst - 1)
         xs = np.array(out)
-        return pd.DataFrame({"series": key[0], "step": np.arange(len(xs)), "x": xs, "y": 2 * xs + r.standard_normal(len(xs))})
+        both = np.stack([2 * xs + r.standard_normal(len(xs)), xs], 1).ravel()
+        step = np.repeat(np.arange(len(xs)), 2)
+        return pd.DataFrame({"series": int(key[0]), "step": step, "event_type": ["B", "A"] * len(xs), "value": both})
 
-    return spark.range(n).withColumn("series", F.col("id") % series).groupBy("series").applyInPandas(run, "series long, step long, x double, y double")
+    made = spark.range(n).withColumn("series", F.col("id") % series).groupBy("series").applyInPandas(run, "series long, step long, event_type string, value double")
+    number = (F.col("step") * series + F.col("series")) * 2 + (F.col("event_type") == "A").cast("long")
+    return made.select(number.alias("event_id"), at_second(F.col("step"), START).alias("ts"), "event_type", "value", "series")

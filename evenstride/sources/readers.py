@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.clock import at_second, micros
+
 #: Where headerless stream files count seconds from.
 STREAM_START = "2025-11-11 11:11:11"
 EVENT_CSV = "type string, value double, timestamp string"
@@ -12,8 +14,8 @@ OHLC_CSV = "Date string, Low double, Open double, Volume double, High double, Cl
 STREAM_FILE = "id long, ts_offset long, type string, grp long, value double"
 
 
-def _numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Give rows an event_id by file position where the reader has one, else a hash of the row: no global sort."""
+def _numbered(df: DataFrame) -> DataFrame:
+    """Give rows an event_id that grows with their place in the input (split by split), without a global sort."""
     return df.withColumn("event_id", F.monotonically_increasing_id())
 
 
@@ -49,8 +51,7 @@ def read_stream_file(spark: SparkSession, path: str, start: str = STREAM_START)
 
 
 def offset_time(seconds, start: str = STREAM_START):
-    base = F.unix_timestamp(F.lit(start).cast("timestamp"))
-    return F.timestamp_seconds(base + seconds).cast("timestamp_ntz")
+    return at_second(seconds, start)
 
 
 def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -59,9 +60,24 @@ def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     return df.select(F.xxhash64("type", "value", "timestamp").alias("event_id"), F.to_timestamp("timestamp").alias("ts"), F.col("type").alias("event_type"), "value")
 
 
-def reshape_prices(df: DataFrame, date: str = "Date", price: str = "Close") -> DataFrame:
-    """Columns renamed, date as epoch milliseconds, in the order (type, value, timestamp)."""
-    return df.select(F.col("Type").alias("type"), F.col(price).cast("double").alias("value"), F.unix_millis(F.col(date).cast("timestamp")).alias("timestamp"))
+#: Columns of reshaped prices and what they are called in price files.
+RESHAPED = {"ticker": "Name", "timestamp": "Date", "open_price": "Open", "peak_price": "High", "lowest_price": "Low", "close_price": "Close", "volume": "Volume"}
+
+
+def reshape_prices(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
+    """Price rows as ``(ticker, timestamp, open_price, peak_price, lowest_price, close_price, volume)``, the date as whole epoch milliseconds.
+
+    ``names``: where the input calls a column otherwise than ``RESHAPED``. A date given as text is ``yyyy-MM-dd``.
+    """
+    names = RESHAPED | (names or {})
+    df = df.withColumn("__ts", F.col(names["timestamp"]).cast("timestamp_ntz"))
+    ms = F.floor(micros(df, "__ts") / 1000).cast("long")
+    return df.select(F.col(names["ticker"]).alias("ticker"), ms.alias("timestamp"), *[F.col(names[c]).cast("double").alias(c) for c in list(RESHAPED)[2:]])
+
+
+def write_metrics(spark: SparkSession, path: str, **row) -> None:
+    """Append one row of a run's figures (such as window_time, selection_strategy, engine, handle_time, matches, memory_usage) as CSV."""
+    spark.createDataFrame([tuple(row.values())], list(row)).coalesce(1).write.mode("append").option("header", True).csv(path)
 
 
 def write_matches(matches: DataFrame, path: str, form: str = "parquet") -> None:

@@ -207,7 +207,7 @@ def test_queries_equal_portable_sql(spark, sf_dir, part):
     con = duckdb.connect()
     for f in os.listdir(sf_dir):
         con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{sf_dir}/{f}'")
-    show = lambda rows: sorted(str(["" if v is None else f"{float(v):.9g}" if isinstance(v, int | float) else str(v) for v in r]) for r in rows)
+    show = lambda rows: sorted(str(["" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r]) for r in rows)
     queries, oracles = entry.queries(), entry.oracle_sql()
     for name in CORE[part::6]:
         df = queries[name](spark, sf_dir)
