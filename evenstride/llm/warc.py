@@ -10,10 +10,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import cut, new_path
 
 #: Payload bytes in a chunk at most; a larger payload becomes a first segment and continuation records.
 CHUNK = 1 << 20
+#: A payload with more than one page in so many is heavy.
+HEAVY = 1024
 END = b"\r\n\r\n"
 URN = "urn:evenstride:page:"
 DATE = "2024-01-01T00:00:00Z"
@@ -76,13 +78,17 @@ def _chunks(size: int):
 def chunk_table(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``pages(page_id, url, html)`` as chunk rows (``CHUNK_SCHEMA``); of equal payloads only the smallest page_id's has data.
 
-    Which payloads are equal is found on their SHA-256 alone: first page per digest (an aggregation with map-side combine, so a payload
-    that a third of all pages share is no hot group), then page and digest against that, then pages against the revisits by page.
+    Which payloads are equal is found on their SHA-256 alone: first page and pages per digest (an aggregation with map-side combine), then
+    page and digest against that, then pages against the revisits by page. Payloads of more than one page in HEAVY are fewer than HEAVY
+    and broadcast, so that the join by digest gets no hot group from a payload that a third of all pages share.
     """
     key = F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256))
-    ids = pages.select("page_id", key.alias("k"))
-    first = ids.groupBy("k").agg(F.min("page_id").alias("refers_to"))
-    again = ids.join(first, "k").where("page_id > refers_to").groupBy("page_id", "k").agg(F.min("refers_to").alias("refers_to"))
+    ids = cut(pages.select("page_id", key.alias("k")), "warc-ids")
+    first = ids.groupBy("k").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("pages")).where("pages > 1")
+    heavy = F.col("pages") * HEAVY > F.lit(ids.count())
+    many = F.broadcast(first.where(heavy).select("k", "refers_to"))
+    few = ids.join(many, "k", "left_anti").join(first.where(~heavy), "k")
+    again = ids.join(many, "k").unionByName(few.select("k", "page_id", "refers_to")).where("page_id > refers_to").groupBy("page_id", "k").agg(F.min("refers_to").alias("refers_to"))
     full = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"), key.alias("k"))
     return full.join(again, ["page_id", "k"], "left").select("page_id", "url", "refers_to", "payload").mapInArrow(_chunks(chunk), CHUNK_SCHEMA)
 
