@@ -43,7 +43,10 @@ BLANKS = "*_#%.-"
 _WORD = re.compile(r"[^\W\d_]+")
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_LONG_RUN = re.compile(r"([^\W\d_])\1{2,}")
+#: Longer tokens are decoded in overlapping windows of so many characters.
+WINDOW = 40
 _EDGE = re.compile(r"^[^\w$@!|+(<]+|[^\w]+$")
 
 
@@ -135,12 +138,21 @@ class CharModel:
 
 def suspicious(core: str) -> bool:
     """Whether a token (without its edges) may hide a word: signs among letters, or a letter three times in a row."""
-    if len(core) > 40 or "@" in core and "." in core:
+    if "@" in core and "." in core:
         return False
     if _PLAIN.match(core):
         return _TRIPLE.search(core) is not None
     letters = sum(c.isalpha() for c in core)
-    return letters > 0 and letters + sum(c in SIGNS or c in BLANKS for c in core) >= 4
+    return letters > 0 and letters + sum(c in SIGNS or c in BLANKS for c in core) >= 3
+
+
+def readings(core: str, model: CharModel) -> list[str]:
+    """What a token may hide: its likeliest reading; of one longer than WINDOW (with runs of a letter cut to three) that of each half-overlapping window."""
+    if len(core) > WINDOW:
+        core = _LONG_RUN.sub(r"\1\1\1", core)
+    if len(core) <= WINDOW:
+        return [model.decode(core)]
+    return [model.decode(core[s : s + WINDOW]) for s in range(0, len(core) - WINDOW // 2, WINDOW // 2)]
 
 
 def token_words(token: str, model: CharModel | None) -> list[str]:
@@ -149,7 +161,7 @@ def token_words(token: str, model: CharModel | None) -> list[str]:
     if model is not None:
         core = _EDGE.sub("", token)
         if core and suspicious(core):
-            words.append(model.decode(core))
+            words += readings(core, model)
     return words
 
 

@@ -5,7 +5,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from evenstride.llm import mixing, neardup, pieces, pii
+from evenstride.llm import mixing, neardup, pieces, pii, sharding, toxicity, warc
 
 
 def test_long_words_merge_as_short_ones_do():
@@ -118,3 +118,37 @@ def test_near_duplicate_stage_without_ids(spark, sf_dir):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r.doc_id, r.text) for r in cp.near_duplicate_stage(spark, d, sf_dir).collect())
     assert got == [(4, "a b c d e f"), (4, "other words stand here now"), (9, "")]
+
+
+def test_long_and_short_tokens_are_decoded():
+    m = toxicity.CharModel({"stone": 3.0, "bad": 2.0}, ["idiot", "bad"])
+    words = lambda t: toxicity.token_words(t, m)
+    assert "idiot" in words("1d" + "i" * 60 + "0t") and "bad" in words("b4d")
+    assert any("idiot" in w for w in words("x" + "st0ne" * 20 + "1d10t" + "st0ne" * 9))
+    assert toxicity.spaced_words("he is b a d today", m) == ["bad"]
+    assert toxicity.suspicious("1d10t" * 30) and not toxicity.suspicious("some.one@" + "x" * 60 + ".org") and not toxicity.suspicious("12")
+
+
+def test_shards_are_near_equal(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, "x" * r.choice((10, 50, 400)) + str(i % 3000)) for i in range(6000)] + [(10**6 + i, "copy " * 500) for i in range(40)]
+    out = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    load = sorted(x.b for x in out)
+    group = 40 * (2500 + 16)  # the copies stay together
+    assert len(load) == 40 and load[-1] - load[0] <= group and load[-2] - load[0] <= 0.02 * load[0]
+
+
+def test_a_heavy_payload(spark, monkeypatch):
+    rows = [(i, "u", "same" if i % 3 else f"own {i // 2}") for i in range(1, 400)] + [(None, "u", "same"), (2, "u", "same")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [sorted(map(tuple, warc.archive(d).collect()), key=str)]
+    monkeypatch.setattr(warc, "HEAVY", 1)
+    got.append(sorted(map(tuple, warc.archive(d).collect()), key=str))
+    assert got[0] == got[1]
+    first = {}
+    for i, _, t in rows:
+        if i is not None:
+            first[t] = min(first.get(t, i), i)
+    assert sorted((str(r[0]), r[4]) for r in got[0]) == sorted((str(i), first[t] if i is not None and first[t] < i else None) for i, _, t in rows)
