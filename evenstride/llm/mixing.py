@@ -94,6 +94,11 @@ def route(patterns: dict[tuple, int], quota: dict, repeats: int = REPEATS) -> di
     return {p: sum(flow[repeats * i : repeats * (i + 1)]) for i, p in enumerate(ps)}
 
 
+def pattern(name: str) -> tuple:
+    """The sources of a membership pattern from its name: '+' and hexadecimal letters, or '-' for null, apart by commas."""
+    return tuple(None if x == "-" else bytes.fromhex(x[1:]).decode() for x in name.split(",")) if name else ()
+
+
 def mix(docs: DataFrame, seed: int = 7, parts: int = 4096) -> DataFrame:
     """How many words of each document the mix takes: ``(doc_id, size, source_size, target, taken, text_crc32)``, one row per input row.
 
@@ -112,9 +117,9 @@ def mix(docs: DataFrame, seed: int = 7, parts: int = 4096) -> DataFrame:
     member = F.coalesce(F.array_sort(F.array_distinct("source")), F.array(F.lit(None).cast("string"))) if many else F.array("source")
     name = F.expr("array_join(transform(p, x -> if(x is null, '-', concat('+', hex(x)))), ',')")  # of a pattern, without nulls
     rows = docs.select("doc_id", "text", member.alias("p"))
-    base = cut(rows.select("doc_id", "p", name.alias("pk"), word_count(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64(F.lit(seed), "doc_id", F.crc32("text")).alias("u")), "mix")
-    found = base.groupBy("pk").agg(F.first("p").alias("p"), F.sum("size").alias("s")).collect()  # a row per pattern
-    pats = {tuple(r.p): r.s for r in found}
+    base = cut(rows.select("doc_id", name.alias("pk"), word_count(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.xxhash64(F.lit(seed), "doc_id", F.crc32("text")).alias("u")), "mix")
+    found = {r.pk: (pattern(r.pk), r.s) for r in base.groupBy("pk").agg(F.sum("size").alias("s")).collect()}  # a row per pattern
+    pats = dict(found.values())
     sizes: dict = {}
     for p, n in pats.items():
         for s in p:
@@ -126,11 +131,11 @@ def mix(docs: DataFrame, seed: int = 7, parts: int = 4096) -> DataFrame:
         target = targets(sizes)
     took = route(pats, quotas(target))
     plan = spark.createDataFrame(
-        [(r.pk, sum(sizes[s] for s in r.p), float(sum(target[s] for s in r.p)), took[tuple(r.p)] // r.s if r.s else 0, took[tuple(r.p)] % r.s if r.s else 0) for r in found],
+        [(pk, sum(sizes[s] for s in p), float(sum(target[s] for s in p)), took[p] // n if n else 0, took[p] % n if n else 0) for pk, (p, n) in found.items()],
         "pk string, source_size long, target double, whole long, rest long",
     )
     part = F.pmod(F.shiftright("u", 20), F.lit(parts))
-    base = base.withColumn("part", part).drop("p")
+    base = base.withColumn("part", part)
     sums = base.groupBy("pk", "part").agg(F.sum("size").alias("n"))
     before = sums.select("pk", "part", (F.sum("n").over(Window.partitionBy("pk").orderBy("part")) - F.col("n")).alias("before"))
     w = Window.partitionBy("pk", "part").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
