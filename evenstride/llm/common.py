@@ -54,6 +54,12 @@ def drop_cut(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage now. Spark frees the shuffle files and broadcasts of finished queries, and the driver's heap shrinks
+    again, only when that happens; between the phases of a long job that is worth the fraction of a second it takes."""
+    spark._jvm.System.gc()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared storage."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -97,6 +103,7 @@ def components(edges: DataFrame) -> DataFrame:
         if new == state:
             break
         state = new
+    tidy(edges.sparkSession)
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(cur.select("v", "v").distinct())
 
 

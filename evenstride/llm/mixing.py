@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, word_count
+from .common import WORD, cut, tidy, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -113,6 +113,7 @@ def mix(docs: DataFrame, seed: int = 7, parts: int = 4096) -> DataFrame:
     belongs to none and is not taken. Repeated rows count each; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    tidy(spark)
     many = dict(docs.dtypes)["source"].startswith("array")
     member = F.coalesce(F.array_sort(F.array_distinct("source")), F.array(F.lit(None).cast("string"))) if many else F.array("source")
     name = F.expr("array_join(transform(p, x -> if(x is null, '-', concat('+', hex(x)))), ',')")  # of a pattern, without nulls

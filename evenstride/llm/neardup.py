@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_filter, components, cut, drop_cut, grouped_batches
+from .common import bitmap_filter, components, cut, drop_cut, grouped_batches, tidy
 
 #: Words in a shingle; coordinates of a signature; share of links at the threshold itself that may agree in too few coordinates.
 WORDS, COORDINATES, MISSED = 5, 32, 4e-5
@@ -332,6 +332,7 @@ def groups(docs: DataFrame, percent: int) -> DataFrame:
     merged = _block_pairs(short.join(lists, "e").join(nodes.select("node", "sig"), "node"), "e", "blocks", ["sig"])
     cand = cut(merged.mapInArrow(_candidates(least), "a long, b long").distinct(), "near-cand")
     drop_cut(short)
+    tidy(docs.sparkSession)
     clusters = components(cand).select("node", F.col("component").alias("cluster"))
     reps = clusters.join(nodes.select("node", "rep"), "node")
     plain = docs.select("doc_id", "text")
@@ -341,6 +342,7 @@ def groups(docs: DataFrame, percent: int) -> DataFrame:
     weight = sets.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("w")).select("cluster", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("w") / BLOCK_SHINGLES)).alias("blocks"))
     links = cut(_block_pairs(sets.join(weight, "cluster"), "cluster", "blocks", ["sig", "shingles"]).mapInArrow(_confirm(percent, least), "a long, b long").distinct(), "near-links")
     drop_cut(sets)
+    tidy(docs.sparkSession)
     linked = nodes.select("node", "rep").join(components(links), "node", "left")
     lowest = linked.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     label = linked.join(lowest, "component", "left").select("node", F.coalesce("component", "node").alias("group"), F.coalesce("least", "rep").alias("label"))

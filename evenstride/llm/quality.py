@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_filter, cut, drop_cut
+from .common import bitmap_filter, cut, drop_cut, tidy
 
 #: Characters in an n-gram; bits of a character in a packed n-gram.
 ORDER, BITS = 5, 10
@@ -174,6 +174,7 @@ def _model(counts: DataFrame) -> DataFrame:
     model = cut(model, "kn-model")
     for t in made:
         drop_cut(t)
+    tidy(spark)
     return model
 
 
@@ -359,6 +360,7 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, folds:
     model = train_folds(text.join(trusted.hint("shuffle_merge"), "doc_id").select(fold_of(folds).alias("fold"), "lang", "text"), folds)
     scored = cut(score(docs, model, folds=folds), "kn-scores")
     drop_cut(model)
+    tidy(spark)
     held = scored.where("n > 0").join(trusted, "doc_id").withColumn("mean", F.col("loss") / F.col("n"))
     mid = _quantiles(held, "mean", (0.5,))
     mids = F.broadcast(spark.createDataFrame([(k, v[0]) for k, v in mid.items()], "lang string, mid double"))
