@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the ASCII space, tab, LF, VT, FF, CR.
@@ -35,15 +35,23 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
+def cut(df: DataFrame, kind: str = "cut", **measured: Column) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and a lost executor loses nothing.
+
+    ``measured``: aggregates of what is written, taken by the same query and found in ``_measured`` of the result.
+    """
     spark = df.sparkSession
     path = new_path(spark, kind)
+    if measured:
+        seen = Observation()
+        df = df.observe(seen, *[c.alias(k) for k, c in measured.items()])
     df.write.parquet(path)
     for held in _scopes:
         held.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if measured:
+        out._measured = seen.get
     return out
 
 
@@ -96,10 +104,11 @@ def components(edges: DataFrame) -> DataFrame:
         # every edge of ``large`` points down already, so small-star needs each node's lower neighbours only
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        nxt = cut(small.select("e.*").where("u <> v").distinct(), "cc")
+        nxt = cut(small.select("e.*").where("u <> v").distinct(), "cc", n=F.count(F.lit(1)), keys=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         drop_cut(cur)
-        new = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        new = nxt._measured
         cur = nxt
+        tidy(edges.sparkSession)
         if new == state:
             break
         state = new

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap_filter, cut, drop_cut, tidy
@@ -147,27 +147,40 @@ def train_folds(trusted: DataFrame, folds: int) -> DataFrame:
 
 
 def _model(counts: DataFrame) -> DataFrame:
+    """Model rows of n-gram counts ``(lang, key, n)``, in few queries: each one's plan and tasks cost the driver memory at any size.
+
+    The n-grams of a context differ in their last character, so a window over a context holds 2 ** BITS rows at most.
+    """
     spark = counts.sparkSession
-    level = {ORDER: cut(counts, "kn-counts")}
-    for m in range(ORDER - 1, 0, -1):
-        level[m] = cut(level[m + 1].groupBy("lang", F.col("key").bitwiseAND(F.lit(_mask(m))).alias("key")).agg(F.count("*").alias("n")), "kn-counts")
-    rows, lower, made = [], None, list(level.values())
+    top = cut(counts, "kn-counts")
+    level = {ORDER: top, ORDER - 1: cut(_lower(top, ORDER - 1), "kn-counts")}
+    wider = level[ORDER - 1].select("lang", "key", F.explode(F.array(*[F.lit(m) for m in range(1, ORDER - 1)])).alias("m"))
+    grams = wider.select("lang", "m", _last("key", F.col("m") + 1).alias("key")).distinct()
+    small = cut(grams.groupBy("lang", "m", _last("key", F.col("m")).alias("key")).agg(F.count("*").alias("n")), "kn-counts")
+    for m in range(1, ORDER - 1):
+        level[m] = small.where(F.col("m") == m).select("lang", "key", "n")
+    stats = None
+    for m, t in level.items():
+        one = t.groupBy("lang").agg(F.lit(m).alias("m"), F.count("*").alias("v"), *[F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)])
+        stats = one if stats is None else stats.union(one)
+    stats = stats.collect()  # a row per language and order
+    whole = Window.partitionBy("lang", "ctx")
+    rows, lower, made = [], None, [top, level[ORDER - 1], small]
     for m in range(1, ORDER + 1):
-        t = level[m]
-        stats = t.groupBy("lang").agg(F.count("*").alias("v"), *[F.sum((F.col("n") == k).cast("long")).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()  # a row per language
-        d = spark.createDataFrame([(r.lang, *discounts([r.n1, r.n2, r.n3, r.n4]), 1.0 / (r.v + 1)) for r in stats], "lang string, d1 double, d2 double, d3 double, u double")
-        t = t.join(F.broadcast(d), "lang").withColumn("ctx", F.shiftright("key", BITS)).withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        ctx = cut(t.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("held")), "kn-contexts")
-        t = t.join(ctx, ["lang", "ctx"])
+        d = spark.createDataFrame([(r.lang, *discounts([r.n1, r.n2, r.n3, r.n4]), 1.0 / (r.v + 1)) for r in stats if r.m == m], "lang string, d1 double, d2 double, d3 double, u double")
+        t = level[m].join(F.broadcast(d), "lang").withColumn("ctx", F.shiftright("key", BITS)).withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        t = t.withColumns({"total": F.sum("n").over(whole), "held": F.sum("d").over(whole), "first": F.min("key").over(whole) == F.col("key")})
         if lower is None:
             t = t.withColumn("p_low", F.col("u"))
             rows.append(d.select("lang", F.lit(15).alias("tag"), F.lit(0).cast("long").alias("key"), F.log("u").alias("val")))
         else:
             t = t.withColumn("low", F.col("key").bitwiseAND(F.lit(_mask(m - 1)))).join(lower.select("lang", F.col("key").alias("low"), F.col("p").alias("p_low")), ["lang", "low"])
-        lower = cut(t.select("lang", "key", ((F.col("n") - F.col("d")) / F.col("total") + F.col("held") / F.col("total") * F.col("p_low")).alias("p")), "kn-p")
-        made += [ctx, lower]
+        share = F.col("held") / F.col("total")
+        lower = cut(t.select("lang", "key", ((F.col("n") - F.col("d")) / F.col("total") + share * F.col("p_low")).alias("p"), F.when(F.col("first"), F.log(share)).alias("back")), "kn-p")
+        made.append(lower)
         rows.append(lower.select("lang", F.lit(m).alias("tag"), "key", F.log("p").alias("val")))
-        rows.append(ctx.select("lang", F.lit(8 + m - 1).alias("tag"), F.col("ctx").alias("key"), F.log(F.col("held") / F.col("total")).alias("val")))
+        rows.append(lower.where("back is not null").select("lang", F.lit(8 + m - 1).alias("tag"), F.shiftright("key", BITS).alias("key"), F.col("back").alias("val")))
+        tidy(spark)
     model = rows[0]
     for r in rows[1:]:
         model = model.union(r)
@@ -178,6 +191,16 @@ def _model(counts: DataFrame) -> DataFrame:
     return model
 
 
+def _last(key: str, m) -> Column:
+    """The last ``m`` characters of a packed n-gram; m a column."""
+    return F.col(key).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (m * BITS).cast("int")) - 1)
+
+
+def _lower(t: DataFrame, m: int) -> DataFrame:
+    """m-grams with the number of (m + 1)-grams of ``t`` that end in each."""
+    return t.groupBy("lang", F.col("key").bitwiseAND(F.lit(_mask(m))).alias("key")).agg(F.count("*").alias("n"))
+
+
 class Table:
     """Open-addressing hash table from int64 keys to a row of values (one for each fold), built and read a whole array at a time."""
 
