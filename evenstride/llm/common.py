@@ -95,8 +95,9 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al. 2014); each round is two aggregations and joins, its result is
     written to the shared folder and the previous round's is deleted. Nodes without edges do not occur in the result.
     """
-    cur = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    state = None
+    seen = {"n": F.count(F.lit(1)), "keys": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    cur = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", **seen)
+    state = cur._measured  # edges that are stars already end after one round
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -104,7 +105,7 @@ def components(edges: DataFrame) -> DataFrame:
         # every edge of ``large`` points down already, so small-star needs each node's lower neighbours only
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        nxt = cut(small.select("e.*").where("u <> v").distinct(), "cc", n=F.count(F.lit(1)), keys=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        nxt = cut(small.select("e.*").where("u <> v").distinct(), "cc", **seen)
         drop_cut(cur)
         new = nxt._measured
         cur = nxt
