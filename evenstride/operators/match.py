@@ -17,6 +17,8 @@ from ..functions.kleene import lookup
 from ..plans.expr import TIMES, Constraint, Node, render
 from ..plans.spec import Pattern, Var
 
+#: Candidates from which the subsets of a Kleene variable are built in two halves.
+HALVED = 10
 #: Columns of the input.
 EVENT_COLUMNS = ("event_id", "ts", "event_type", "value")
 
@@ -192,10 +194,21 @@ class _Plan:
         steps = [c for c in self.left if c.is_step and v.name in c.elements and p.needs(c) - {v.name} <= set(bound)]
         for c in steps:
             self.left.remove(c)
+        if p.max_candidates is None and v.strategy == "stam" and not steps and not self.whole(v):
+            # without a bound on the candidates: rows for the subsets of the first half, and of each its extensions, so that no array
+            # holds more than 2^(n/2) sequences
+            df = df.withColumn("__free", F.expr(arr)).withColumn("__half", F.expr(f"if(size(__free) < {HALVED}, 0, size(__free) div 2)"))
+            df = df.withColumn("__head", F.expr(f"explode({self.sequences(v, '__free', steps, at, half='head')})"))
+            return df.withColumn(v.name, F.expr(f"explode({self.sequences(v, '__free', steps, at, half='tail')})")).drop("__lim", "__free", "__half", "__head")
         return df.withColumn(v.name, F.expr(f"explode({self.sequences(v, arr, steps, at)})")).drop("__lim")
 
-    def sequences(self, v: Var, arr: str, steps: list[Constraint], at: int) -> str:
-        """All sequences of the candidates ``arr`` that the variable's strategy, size and step constraints allow."""
+    def whole(self, v: Var) -> bool:
+        """Whether the variable stays its whole run."""
+        return not self.p.expand_unconstrained and v.strategy == "stam" and not any(v.name in self.p.needs(c) for c in self.p.where)
+
+    def sequences(self, v: Var, arr: str, steps: list[Constraint], at: int, half: str | None = None) -> str:
+        """All sequences of the candidates ``arr`` that the variable's strategy, size and step constraints allow. ``half``: only those of
+        the first ``__half`` candidates whatever their size ('head'), or those that ``__head`` begins, with the rest ('tail')."""
         p, leaf = self.p, row_leaf(self.p)
 
         def step(prev: str, cur: str) -> str:
@@ -228,7 +241,7 @@ class _Plan:
                 stop = f"get(filter(`c_{nxt.name}`, n -> (n.us, n.event_id) > (get(f, {max(v.least, 1) - 1}).us, get(f, {max(v.least, 1) - 1}).event_id)), 0)"
                 cut = f"transform(array({stop}), z -> filter(f, e -> z is null or (e.us, e.event_id) < (z.us, z.event_id)))[0]"
             return steady(sized(f"transform(array({arr}), f -> array(slice({cut}, 1, {most})))[0]"))
-        if not p.expand_unconstrained and v.strategy == "stam" and not any(v.name in p.needs(c) for c in p.where):
+        if self.whole(v):
             return sized(f"array({arr})")
         start = "(__lim.low is null or e.pos = __lim.low.pos + 1)" if v.strategy == "strict" else "true"
         # a sequence within the window and, where it opens the match, begun in the group's own bucket: nothing is expanded to be thrown away
@@ -241,8 +254,11 @@ class _Plan:
         grow = f"transform(filter(acc, s -> size(s) < {most}{near} and if(size(s) = 0, {start}, {step('get(s, size(s) - 1)', 'e')})), s -> concat(s, array(e)))"
         # a sequence that can't reach its least size any more goes at once
         alive = f"filter(acc, s -> size(s) + size(f) - i + 1 >= {v.least})" if v.least > 1 else "acc"
-        fold = f"if(size(f) = 0, array(slice(f, 1, 0)), aggregate(sequence(1, size(f)), array(slice(f, 1, 0)), (old, i) -> transform(array({alive.replace('acc', 'old', 1)}), acc -> transform(array(get(f, i - 1)), e -> concat(acc, {grow}))[0])[0]))"
-        if v.strategy == "stam" and not steps:
+        low, high, begun = {None: ("1", "size(f)", "slice(f, 1, 0)"), "head": ("1", "__half", "slice(f, 1, 0)"), "tail": ("__half + 1", "size(f)", "__head")}[half]
+        fold = f"if({high} < {low}, array({begun}), aggregate(sequence({low}, {high}), array({begun}), (old, i) -> transform(array({alive.replace('acc', 'old', 1)}), acc -> transform(array(get(f, i - 1)), e -> concat(acc, {grow}))[0])[0]))"
+        if half == "head":
+            return f"transform(array({arr}), f -> {fold})[0]"
+        if v.strategy == "stam" and not steps and p.max_candidates is not None:
             guard = f"raise_error(concat('{v.name}: ', size(f), ' candidates; max_candidates is {p.max_candidates}'))"
             fold = f"if(size(f) > {p.max_candidates}, {guard}, {fold})"
         return sized(f"transform(array({arr}), f -> {fold})[0]")
@@ -279,7 +295,8 @@ def match(events: DataFrame, p: Pattern) -> DataFrame:
     event ids), and ``first_us``/``last_us`` (microseconds). ``events`` has event_id, ts, event_type, value and the key column.
 
     Ties in ts are ordered by event_id; events with null ts or id are left out, a null value fails every test of it. An empty
-    stream gives no rows. A Kleene variable with more than ``max_candidates`` candidates and no step constraint raises, never drops.
+    stream gives no rows. A Kleene variable with more than ``max_candidates`` candidates and no step constraint raises, never drops; with
+    ``max_candidates`` None none raises, and all subsets are built however many the candidates.
     """
     df = _Plan(p).run(events)
     cols = [F.col("__key").alias(p.key)] if p.key else []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,7 +131,7 @@ def _match(p: Pattern, factor: float, daily: bool, spark: SparkSession, sf_dir:
         e = e.withColumn("value", F.col("value") * factor)
     if daily:
         e = e.withColumn("ts", F.col("ts").cast("date").cast("timestamp_ntz"))
-    return match(e, p).drop("first_us", "last_us")
+    return match(e, replace(p, max_candidates=None)).drop("first_us", "last_us")  # like their SQL, the queries refuse no group
 
 
 def _count(p: Pattern, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ class Pattern:
     """Variables in order, constraints, window in seconds (last - first <= within) and the column that partitions the stream, if any.
 
     ``unions``: names for the events of several variables, in arrival order, which constraints may apply functions to.
+    ``max_candidates``: beyond so many candidates a Kleene variable without step constraints raises; None: all its subsets are built.
     ``expand_unconstrained`` False: a skip-till-any Kleene variable that no constraint names stays its whole run instead of every subset.
     """
 
@@ -39,7 +40,7 @@ class Pattern:
     within: float | None = None
     key: str | None = None
     max_gap: float | None = None
-    max_candidates: int = 20
+    max_candidates: int | None = 20
     unions: tuple[tuple[str, tuple[str, ...]], ...] = field(default=())
     expand_unconstrained: bool = True
 
