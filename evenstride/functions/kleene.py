@@ -93,12 +93,27 @@ def _trend(op: str) -> Callable[[str, int | None], str]:
     return build
 
 
-def _slope(a: str, _: int | None = None) -> str:
-    """Least squares over whole days since the first element's day."""
-    day = f"cast(datediff(cast(x.ts as date), cast(get({a}, 0).ts as date)) as double)"
-    acc = "named_struct('n', 0D, 'x', 0D, 'y', 0D, 'xx', 0D, 'xy', 0D)"
-    step = f"named_struct('n', s.n + 1D, 'x', s.x + {day}, 'y', s.y + x.value, 'xx', s.xx + {day} * {day}, 'xy', s.xy + {day} * x.value)"
-    return f"aggregate({a}, {acc}, (s, x) -> {step}, s -> coalesce(try_divide(s.n * s.xy - s.x * s.y, s.n * s.xx - s.x * s.x), 0D))"
+def _split(x: str) -> str:
+    """The upper 26 bits of a double, whose product with another such is exact."""
+    return f"(134217729D * {x} - (134217729D * {x} - {x}))"
+
+
+def _slope(a: str, origin: int | None = None) -> str:
+    """Least squares over whole days since ``origin`` days after 2000-01-01, missing values left out.
+
+    Running means, the covariance by fused multiply-add and the variance take the steps of the portable SQL's regr_slope, so that a slope
+    that lies on a bound falls on the same side of it here. The product u * w is p + e exactly; c + p + e is rounded from exact parts.
+    """
+    day = f"cast(datediff(cast(x.ts as date), date'2000-01-01') - {origin or 0} as double)"
+    let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    error = "z.uh * z.wh - z.p + z.uh * (z.w - z.wh) + (z.u - z.uh) * z.wh + (z.u - z.uh) * (z.w - z.wh)"
+    total = "(r.t + ((r.p - (r.t - (r.t - r.p))) + (s.c - (r.t - r.p)) + r.e))"
+    last = f"named_struct('n', z.n, 'x', z.x, 'y', z.y, 'c', {let('r', f"named_struct('t', z.p + s.c, 'p', z.p, 'e', {error})", total)}, 'd', s.d + (z.day - z.x) * z.u)"
+    product = f"named_struct('n', z.n, 'day', z.day, 'x', z.x, 'y', z.y, 'u', z.u, 'w', z.v - z.y, 'p', z.u * (z.v - z.y), 'uh', {_split('z.u')}, 'wh', {_split('(z.v - z.y)')})"
+    means = "named_struct('n', z.n, 'day', z.day, 'v', z.v, 'u', z.day - s.x, 'x', s.x + (z.day - s.x) / z.n, 'y', s.y + (z.v - s.y) / z.n)"
+    step = let("z", let("z", let("z", f"named_struct('n', s.n + 1D, 'day', {day}, 'v', x.value)", means), product), last)
+    acc = "named_struct('n', 0D, 'x', 0D, 'y', 0D, 'c', 0D, 'd', 0D)"
+    return f"aggregate(filter({a}, x -> x.value is not null), {acc}, (s, x) -> {step}, s -> coalesce(try_divide(try_divide(s.c, s.n), try_divide(s.d, s.n)), 0D))"
 
 
 def subset_rows(a: str) -> str:

@@ -33,7 +33,8 @@ def digits(name: str) -> int:
 
 def function_query(name: str, index: int | None, spark: SparkSession, sf_dir: str) -> DataFrame:
     f = lookup(name).build("a", index)
-    return sequences(spark, sf_dir).select("user_id", "wk", F.expr(f"round(cast({f} as double), {digits(name)})").alias("result"))
+    shown = f"round({f} * 1e6D) / 1e6D" if name == "least_squares" else f"round(cast({f} as double), {digits(name)})"  # halves as the SQL rounds them
+    return sequences(spark, sf_dir).select("user_id", "wk", F.expr(shown).alias("result"))
 
 
 def generator_query(op: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ _FUNCTIONS: dict[str, tuple[str, int | None, str | None]] = {
     "f_sum": ("sum", None, "list_sum(v)"),
     "f_min": ("min", None, "list_min(v)"),
     "f_max": ("max", None, "list_max(v)"),
-    "f_slope": ("least_squares", None, "coalesce((SELECT CASE WHEN count(DISTINCT x) > 1 THEN regr_slope(y, x) ELSE 0 END FROM (SELECT unnest(v) AS y, unnest(list_transform(t, lambda z: date_diff('day', DATE '2024-01-01', CAST(z AS DATE)))) AS x)), 0)"),
+    "f_slope": ("least_squares", 8766, "coalesce((SELECT CASE WHEN count(DISTINCT x) > 1 THEN regr_slope(y, x) ELSE 0 END FROM (SELECT unnest(v) AS y, unnest(list_transform(t, lambda z: date_diff('day', DATE '2024-01-01', CAST(z AS DATE)))) AS x)), 0)"),
     "f_inc": ("increasing", None, "CASE WHEN len(v) > 1 AND v = list_sort(v) AND len(list_distinct(v)) = len(v) THEN 1 ELSE -1 END"),
     "f_dec": ("decreasing", None, "CASE WHEN len(v) > 1 AND v = list_reverse_sort(v) AND len(list_distinct(v)) = len(v) THEN 1 ELSE -1 END"),
     "f_noninc": ("non_increasing", None, "CASE WHEN len(v) > 1 AND v = list_reverse_sort(v) THEN 1 ELSE -1 END"),
