@@ -130,6 +130,12 @@ def _subset_sum(a: str, _: int | None = None) -> str:
     return f"if(size({a}) > {MAX_SUBSETS}, cast({guard} as double), if(size({a}) = 0, 0D, {pick}))"
 
 
+def value_at(a: str, us: str, event_id: str | None = None) -> str:
+    """Value of the event at an exact time (microseconds since 1970, SQL), null if nothing happened then; of several events the first, or
+    that with ``event_id``."""
+    return f"get(filter({a}, x -> {ntz_micros('x.ts')} = {us}{f' and x.event_id <=> {event_id}' if event_id else ''}), 0).value"
+
+
 def _choose(n: str, k: int) -> str:
     return f"aggregate(sequence(1, {k}), 1D, (c, i) -> c * ({n} - {k} + i) / i)" if k > 0 else "1D"
 
@@ -159,7 +165,7 @@ register_kleene_fn(
 )
 register_kleene_fn("merge_sort", lambda a, k: f"get(array_sort({_values(a)}), {k})", cost=lambda n: n * max(1, n).bit_length(), indexed=True)
 register_kleene_fn("bubble_sort", lambda a, k: f"coalesce(get(array_sort({_values(a)}), {k}), -1D)", cost=lambda n: n * max(1, n).bit_length(), indexed=True)
-register_kleene_fn("binary_search_timestamp", lambda a, t: f"get(filter({a}, x -> {ntz_micros('x.ts')} div 1000000 = {t}), 0).value", indexed=True)
+register_kleene_fn("binary_search_timestamp", lambda a, t: value_at(a, f"{t} * 1000000L"), indexed=True)
 register_kleene_fn("triplet_sum", lambda a, _=None: f"power({_sum(a)}, 3D)")
 register_kleene_fn("permutations", lambda a, _=None: f"get({a}, 0).value", cost=lambda n: 1)
 register_kleene_fn("combinations_square", lambda a, k: _moments(a, f"case when m.n < {k} or m.n = 0 then 0D else {_choose('m.n', k)} / m.n * m.q end"), indexed=True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import ntz_micros
-from ..functions.kleene import GENERATORS, lookup, monotone_subsequences
+from ..functions.kleene import GENERATORS, lookup, monotone_subsequences, value_at
 
 WEEK_SQL = "CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) AS BIGINT)"
 
@@ -84,10 +84,10 @@ SELECT user_id, wk, round(total, 6) AS result FROM r WHERE place = n // 2"""
 
 
 def at_ts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Value at an exact second: for sequences of even length that of the event after their middle, for others one nothing happened at."""
+    """Value at an exact time: for sequences of even length that of the event after their middle, for others one nothing happened at."""
     s = sequences(spark, sf_dir)
-    t = f"({ntz_micros('get(a, size(a) div 2).ts')} div 1000000 + if(size(a) % 2 = 0, 0, 700000))"
-    return s.select("user_id", "wk", F.expr(f"round({lookup('binary_search_timestamp').build('a', t)}, 6)").alias("result"))
+    us = f"({ntz_micros('get(a, size(a) div 2).ts')} + if(size(a) % 2 = 0, 0L, 700000000000L))"
+    return s.select("user_id", "wk", F.expr(f"round({value_at('a', us, 'get(a, size(a) div 2).event_id')}, 6)").alias("result"))
 
 
 def powerset_query(spark: SparkSession, sf_dir: str) -> DataFrame:
