@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,27 @@ def tidy(spark: SparkSession) -> None:
     """Collect the driver's garbage now. Spark frees the shuffle files and broadcasts of finished queries, and the driver's heap shrinks
     again, only when that happens; between the phases of a long job that is worth the fraction of a second it takes."""
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> str | None:
+    """Give back to the system what the driver's JVM has freed outside its heap, which the C library else keeps for each of some hundred
+    threads. Returns the JVM's report; None where it can't (Linux, from 17.0.9 on)."""
+    new, jvm = spark.sparkContext._gateway.new_array, spark._jvm
+
+    def array(of, items: list):
+        out = new(of, len(items))
+        for i, x in enumerate(items):
+            out[i] = x
+        return out
+
+    kind, lang = jvm.java.lang.Class.forName, jvm.java.lang
+    takes = array(lang.Class, [kind("javax.management.ObjectName"), kind("java.lang.String"), kind("[Ljava.lang.Object;"), kind("[Ljava.lang.String;")])
+    args = [jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", new(lang.Object, 0), new(lang.String, 0)]
+    try:
+        return kind("javax.management.MBeanServer").getMethod("invoke", takes).invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), array(lang.Object, args))
+    except Py4JError:
+        return None
 
 
 def delete(spark: SparkSession, path: str) -> None:
